@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from liftlens.functions.binding import let, record
+
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
+_PLAIN_ROOTED_PATH = r"^(?:/[^/?#.\s\x00-\x20][^/?#\s\x00-\x20]*+)+/?$"
 
 
 def _group(text: Column, pattern: str) -> Column:
@@ -14,13 +17,20 @@ def _group(text: Column, pattern: str) -> Column:
 
 def url_parts(url: Column) -> Column:
     """Struct (scheme, host, path, query) of a URL: scheme and host in lower case, no fragment."""
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    rest = F.regexp_replace(text, _SCHEME, "")
-    return F.struct(
-        F.lower(_group(text, _SCHEME)).alias("scheme"),
-        F.lower(_group(rest, r"^//([^/?#]*)")).alias("host"),
-        _group(rest, r"^(?://[^/?#]*)?([^?#]*)").alias("path"),
-        _group(rest, r"^[^?#]*\?([^#]*)").alias("query"))
+    def split(text):
+        return let(F.regexp_replace(text, _SCHEME, ""), lambda rest: record(
+            scheme=F.lower(_group(text, _SCHEME)),
+            host=F.lower(_group(rest, r"^//([^/?#]*)")),
+            path=_group(rest, r"^(?://[^/?#]*)?([^?#]*)"),
+            query=_group(rest, r"^[^?#]*\?([^#]*)")))
+
+    return let(F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]+", ""), split)
+
+
+def page_base(url: Column) -> Column:
+    """Parts of a page's own normalized url, the base its links are resolved against."""
+    return let(url_parts(url), lambda u: record(
+        scheme=u["scheme"], host=u["host"], path=F.when(u["path"] == "", "/").otherwise(u["path"]), query=u["query"]))
 
 
 def build_url(scheme: Column, host: Column, path: Column, query: Column) -> Column:
@@ -33,8 +43,7 @@ def build_url(scheme: Column, host: Column, path: Column, query: Column) -> Colu
 
 def normalize_url(url: Column) -> Column:
     """Lower-case scheme and host, ``/`` for an empty path, query kept, fragment dropped."""
-    parts = url_parts(url)
-    return build_url(parts["scheme"], parts["host"], parts["path"], parts["query"])
+    return let(url_parts(url), lambda u: build_url(u["scheme"], u["host"], u["path"], u["query"]))
 
 
 def _without_dot_segments(segments: Column) -> Column:
@@ -42,32 +51,41 @@ def _without_dot_segments(segments: Column) -> Column:
         segments, F.array().cast("array<string>"),
         lambda done, part: F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
         .when(part == ".", done).otherwise(F.concat(done, F.array(part))))
-    closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    return F.array_join(closed, "/")
+    ends_open = F.element_at(segments, -1).isin(".", "..")
+    return F.array_join(F.when(ends_open, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/")
+
+
+def _squeezed(segments: Column) -> Column:
+    """Segments of a merged path without the empty ones in the middle."""
+    middle = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
+    return F.concat(F.slice(segments, 1, 1), F.filter(middle, lambda s: s != ""), F.slice(segments, -1, 1))
+
+
+def _merged_path(base: Column, path: Column) -> Column:
+    rooted = F.startswith(path, F.lit("/"))
+    folder = F.regexp_replace(base["path"], "[^/]*$", "")
+    segments = F.when(rooted, F.split(path, "/")).otherwise(
+        _squeezed(F.split(F.concat(F.when(folder == "", "/").otherwise(folder), path), "/")))
+    return F.when(path == "", base["path"]).otherwise(let(segments, _without_dot_segments))
+
+
+def _resolve_parts(base: Column, link: Column) -> Column:
+    other_scheme = (link["scheme"] != "") & (link["scheme"] != base["scheme"])
+    alone = other_scheme | (link["host"] != "")
+    scheme = F.when(link["scheme"] != "", link["scheme"]).otherwise(base["scheme"])
+    query = F.when((link["path"] == "") & (link["query"] == ""), base["query"]).otherwise(link["query"])
+    return F.when(alone, record(
+        host=link["host"], url=build_url(scheme, link["host"], link["path"], link["query"]))).otherwise(record(
+            host=base["host"], url=let(_merged_path(base, link["path"]), lambda path: build_url(
+                base["scheme"], base["host"], path, query))))
 
 
 def resolve_link(base: Column, href: Column) -> Column:
     """Struct (host, url) of ``href`` as seen from the page with the parts ``base``, normalized.
 
     Another scheme or an explicit host stands for itself; anything else is merged with the page's
-    path, and dot segments are removed only where there are any.
+    path. The usual rooted path without query and dot segments needs no parsing.
     """
-    link = url_parts(F.regexp_replace(href, r"(?U)^\s+|\s+$", ""))
-    alone = ((link["scheme"] != "") & (link["scheme"] != base["scheme"])) | (link["host"] != "")
-    rooted = F.startswith(link["path"], F.lit("/"))
-    folder = F.regexp_replace(base["path"], "[^/]*$", "")
-    merged = F.when(rooted, link["path"]).otherwise(
-        F.concat(F.when(folder == "", "/").otherwise(folder), link["path"]))
-    segments = F.split(merged, "/")
-    inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
-    squeezed = F.concat(F.slice(segments, 1, 1), F.filter(inner, lambda s: s != ""),
-                        F.slice(segments, -1, 1))
-    plain = ~merged.rlike(r"/\.{1,2}(/|$)") & (rooted | ~merged.contains("//"))
-    path = (F.when(link["path"] == "", base["path"]).when(plain, merged)
-            .otherwise(_without_dot_segments(F.when(rooted, segments).otherwise(squeezed))))
-    query = F.when((link["path"] == "") & (link["query"] == ""), base["query"]).otherwise(link["query"])
-    scheme = F.when(alone & (link["scheme"] != ""), link["scheme"]).otherwise(base["scheme"])
-    host = F.when(alone, link["host"]).otherwise(base["host"])
-    return F.struct(host.alias("host"),
-                    build_url(scheme, host, F.when(alone, link["path"]).otherwise(path),
-                              F.when(alone, link["query"]).otherwise(query)).alias("url"))
+    plain = record(host=base["host"], url=F.concat(base["scheme"], F.lit("://"), base["host"], href))
+    return F.when((base["host"] != "") & href.rlike(_PLAIN_ROOTED_PATH), plain).otherwise(
+        let(url_parts(href), lambda link: _resolve_parts(base, link)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlens import constants as C
+from liftlens.functions.binding import constant_map
 from liftlens.operators.windows import with_expected_ctr
 from liftlens.params import Params, arms
 
@@ -26,7 +27,7 @@ def event_series(windows: DataFrame, view: DataFrame, curve: DataFrame, hyp: Dat
     week goes into the final average, which combines before its shuffle.
     """
     first, end, base_last = week_bounds(p)
-    label = F.create_map(*[F.lit(x) for pair in C.INTERVENTION_LABELS.items() for x in pair])
+    label = constant_map(C.INTERVENTION_LABELS)
     names = arms(hyp).select("hypothesis_id", "arm", F.col("metric").alias("own_metric"),
                              F.concat(F.lit(C.TREATED_SERIES), label[F.col("type")]).alias("arm_name"))
     pieces = (windows.where(F.col("eligible") & ((F.col("role") == "treated") | (F.col("arm") == "a")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftlens import constants as C
-from liftlens.functions.urls import normalize_url, resolve_link, url_parts
+from liftlens.functions.urls import normalize_url, page_base, resolve_link
 from liftlens.params import Hypothesis, Params
 
 STUDY = Params(
@@ -30,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _page_id(user: F.Column) -> F.Column:
-    return F.format_string("U%06d", user)
+    digits = user.cast("string")
+    return F.concat(F.lit("U"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
 
 
 def pages(events: DataFrame) -> DataFrame:
@@ -108,6 +109,9 @@ def lighthouse(events: DataFrame) -> DataFrame:
 
 def crawl(raw_pages: DataFrame) -> DataFrame:
     """Before and after crawls of the stored pages, plus the statuses of the linked targets."""
+    spark = raw_pages.sparkSession
+    if len(raw_pages.inputFiles()) < spark.sparkContext.defaultParallelism:
+        raw_pages = raw_pages.repartition(spark.sparkContext.defaultParallelism)
     key = F.col("page_id")
     gone = key % 23 == 0
     head = F.concat(
@@ -127,7 +131,7 @@ def crawl(raw_pages: DataFrame) -> DataFrame:
     hrefs = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))
     own = base.select("label", normalize_url(F.col("url")).alias("url")).distinct()
     targets = (base.where(F.length("html") > 0)
-               .select("label", url_parts(F.col("url")).alias("base"), hrefs.alias("href"))
+               .select("label", page_base(F.col("url")).alias("base"), hrefs.alias("href"))
                .select("label", "base", "href", resolve_link(F.col("base"), F.col("href")).alias("link"))
                .where(F.col("link.host") == F.col("base.host"))
                .groupBy("label", F.col("link.url").alias("url")).agg(F.max(F.length("href")).alias("size"))
