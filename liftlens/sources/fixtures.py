@@ -140,3 +140,61 @@ def crawl(raw_pages: DataFrame) -> DataFrame:
                        F.lit("text/html").alias("content_type"), F.lit("").alias("html"),
                        F.lit(None).cast("bigint").alias("seq")))
     return base.unionByName(targets)
+
+
+def query_rows(events: DataFrame) -> DataFrame:
+    """Query-level rows: the event type and its number stand in for the search text."""
+    return events.select(
+        F.to_date("ts").alias("date"), _page_id(F.col("user_id")).alias("page"),
+        F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")).alias("query"),
+        (F.col("event_type") == "click").cast("bigint").alias("clicks"), F.lit(1).cast("bigint").alias("impressions"),
+        (1 + F.col("value") / 5).alias("position"))
+
+
+def _at(day: int, user: int, segment: str | None = None) -> F.Column:
+    here = (F.col("date") == F.lit(date(2024, 1, day))) & (F.col("page") == _page_id(F.lit(user)))
+    return here if segment is None else here & (F.col("segment") == segment)
+
+
+def damaged_tables(events: DataFrame) -> dict[str, DataFrame]:
+    """Whole study tables with a few broken rows, at least one per rule."""
+    gsc = gsc_daily(events)
+    again = gsc.where(_at(8, 7, "local"))
+    number = F.col("clicks").cast("double")
+    broken = gsc.unionByName(again).select(
+        F.when(_at(7, 6), "soon").otherwise(F.col("date").cast("string")).alias("date"),
+        F.when(_at(4, 3, "local"), "P99").otherwise(F.col("page")).alias("page"),
+        F.when(_at(6, 5, "local"), "brand").otherwise(F.col("segment")).alias("segment"),
+        F.when(_at(2, 1, "local"), F.col("impressions") + 1).when(_at(9, 8, "local"), 0)
+        .when(_at(10, 9, "general"), 1.5).otherwise(number).alias("clicks"),
+        F.when(_at(3, 2, "general"), -1).when(_at(5, 4, "local"), F.greatest("impressions", F.lit(1)))
+        .when(_at(9, 8, "local"), 0).otherwise(F.col("impressions")).alias("impressions"),
+        F.when(_at(5, 4, "local"), 0.5).when(_at(9, 8, "local"), 3.0).otherwise(F.col("position")).alias("position"))
+    spark = events.sparkSession
+    extra = [("IX1", "U000004", "technical", "2024-01-18"), ("IX2", "P98", "content", "2024-01-18"),
+             ("IX3", "U000000", "content", "2024-01-18"), ("IX4", "U000001", "links", "2024-01-18"),
+             ("IX5", "U000002", "brand", "2024-01-18"), ("I0", "U000000", "technical", "2024-01-18"),
+             ("IX6", "U000000", "technical", "soon")]
+    rows = spark.range(1).select(F.inline(F.array(*[F.struct(
+        *[F.lit(v).alias(n) for n, v in zip(("intervention_id", "page", "type", "date"), row)]) for row in extra])))
+    changes = (interventions(events)
+               .where((F.col("type") != "accessibility") | (F.col("page") == "U000003"))
+               .select("intervention_id", "page", "type", F.col("date").cast("string").alias("date"), "description")
+               .unionByName(rows.withColumn("description", F.lit(""))))
+    listed = pages(events)
+    odd = spark.range(1).select(F.lit("P77").alias("page"), F.lit("https://site.test/x/").alias("url"),
+                                F.lit("mystery").alias("design_group"))
+    before = F.col("snapshot") == "before"
+    scores = lighthouse(events).select(
+        "page", F.when(before & (F.col("page") == "U000001"), "mid").otherwise(F.col("snapshot")).alias("snapshot"), "date",
+        F.when(before & (F.col("page") == "U000000"), 101).otherwise(F.col("performance")).alias("performance"),
+        "accessibility", F.when(~(before & (F.col("page") == "U000002")), F.col("seo")).alias("seo"),
+        "lcp_ms", "cls", "inp_ms")
+    site = authority(events).select(F.col("date").cast("string").alias("date"), "metric", "source",
+                                    F.col("value").cast("string").alias("value"))
+    bad = site.limit(0).unionByName(spark.range(1).select(
+        F.lit("soon").alias("date"), F.lit("domain_authority").alias("metric"), F.lit("events").alias("source"),
+        F.lit("n/a").alias("value")))
+    return {"pages.csv": listed.unionByName(listed.where(F.col("page") == "U000000")).unionByName(odd),
+            "gsc_daily.csv": broken, "interventions.csv": changes, "lighthouse.csv": scores,
+            "authority.csv": site.unionByName(bad)}
