@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from liftlens.functions.binding import constant_map, let, record
 
-_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+"""
+ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+"""
 _RAW_TEXT = r"<{0}(?=[\s/>]){1}>[\s\S]*?(?:</{0}(?=[\s/>])[^>]*+>|\z)"
 _TOKEN = "(?i)" + "|".join([
     r"<!--[\s\S]*?--!?>",
-    _RAW_TEXT.format("script", _ATTRIBUTES),
-    _RAW_TEXT.format("style", _ATTRIBUTES),
-    r"</?[a-z][^\s/>]*+" + _ATTRIBUTES + ">",
+    _RAW_TEXT.format("script", ATTRIBUTES),
+    _RAW_TEXT.format("style", ATTRIBUTES),
+    r"</?[a-z][^\s/>]*+" + ATTRIBUTES + ">",
     r"<[!?/][^>]*+>",
     r"[^<]++",
     "<",
@@ -63,7 +63,7 @@ def markup(token_list: Column) -> Column:
 
 
 def without_tags(fragment: Column) -> Column:
-    return F.regexp_replace(fragment, "(?i)</?[a-z][^\\s/>]*+" + _ATTRIBUTES + ">", "")
+    return F.regexp_replace(fragment, "(?i)</?[a-z][^\\s/>]*+" + ATTRIBUTES + ">", "")
 
 
 def text_of(fragment: Column) -> Column:
@@ -101,8 +101,9 @@ def decode_entities(text: Column, in_attribute: bool = False) -> Column:
 
 
 def attributes(tag: Column) -> Column:
-    """Array of (name, value) of a start tag; an attribute without value has an empty one."""
-    inside = F.regexp_replace(tag, r"^<[a-zA-Z][^\s/>]*+", "")
+    """Array of (name, value) of the start tag a token begins with; an attribute without value has an
+    empty one."""
+    inside = F.regexp_extract(tag, r"^<[a-zA-Z][^\s/>]*+(" + ATTRIBUTES + ")>", 1)
     found = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(0))
     return F.transform(found, lambda a: record(
         name=F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)),

@@ -31,7 +31,7 @@ def decide(low: Column, high: Column, threshold: Column) -> Column:
 
 def percent(value: Column) -> Column:
     """Signed percentage with one decimal; a dash when there is no value."""
-    return F.coalesce(F.format_string("%+.1f %%", value * 100), F.lit(C.NO_PERCENT))
+    return F.when(value.isNotNull(), F.format_string("%+.1f %%", value * 100)).otherwise(C.NO_PERCENT)
 
 
 def general_number(value: Column) -> Column:

@@ -37,7 +37,7 @@ def build_url(scheme: Column, host: Column, path: Column, query: Column) -> Colu
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
         F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
-        F.when(path == "", "/").otherwise(path),
+        F.when((path == "") | ((host != "") & ~path.startswith("/")), F.concat(F.lit("/"), path)).otherwise(path),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 

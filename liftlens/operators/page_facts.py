@@ -46,7 +46,7 @@ def page_links(html_tags: Column, base: Column) -> Column:
 def _has_no_text(anchor: Column) -> Column:
     """A link with a target, but without text, own name and alternative text of its images. The text,
     which nearly every link has, is tested first."""
-    attrs = H.attributes(F.regexp_extract(anchor, "(?is)^(<a" + H._ATTRIBUTES + ")>", 1))
+    attrs = H.attributes(anchor)
     images = H.tags_with_attributes(H.start_tags(H.tokens(anchor), "img"))
     alts = F.transform(images, lambda i: H.strip(F.coalesce(H.attribute_text(i["attrs"], "alt"), F.lit(""))))
     return ((H.text_of(anchor) == "")
@@ -92,8 +92,8 @@ def _level_skips(heading_tags: Column) -> Column:
 
 
 def _json_bodies(scripts: Column) -> Column:
-    linked = F.filter(scripts, lambda s: H.attribute(H.attributes(F.regexp_extract(s, "^<script([^>]*)>", 0)), "type") == C.JSON_LD)
-    return F.transform(linked, lambda s: F.regexp_replace(F.regexp_replace(s, "(?i)^<script[^>]*+>", ""),
+    linked = F.filter(scripts, lambda s: H.attribute(H.attributes(s), "type") == C.JSON_LD)
+    return F.transform(linked, lambda s: F.regexp_replace(F.regexp_replace(s, "(?i)^<script" + H.ATTRIBUTES + ">", ""),
                                                           r"(?i)</script[^>]*+>\z", ""))
 
 
@@ -133,7 +133,7 @@ def page_facts(crawl: DataFrame) -> DataFrame:
 
     split = parsed.select(
         "label", "url", "base",
-        F.regexp_extract("markup", r"(?is)<title(?=[\s/>])" + H._ATTRIBUTES + r">(.*?)</title(?=[\s/>])", 1).alias("title"),
+        F.regexp_extract("markup", r"(?is)<title(?=[\s/>])" + H.ATTRIBUTES + r">(.*?)</title(?=[\s/>])", 1).alias("title"),
         F.regexp_extract_all("markup", F.lit(_ANCHOR), F.lit(0)).alias("anchors"),
         H.tags_with_attributes(tags("meta")).alias("metas"),
         H.tags_with_attributes(tags("link")).alias("link_tags"),

@@ -183,7 +183,8 @@ SELECT hypothesis_id, model, metric,
          - CASE WHEN kind = 'did_difference' THEN max(effect) FILTER (WHERE arm = 'b') ELSE 0 END AS estimate
 FROM (SELECT p.hypothesis_id, p.model, p.arm, m.metric, m.kind,
              (exp(avg(target - prediction)) - 1) * CASE WHEN m.metric = 'position' THEN -1 ELSE 1 END AS effect
-      FROM predictions{tag} p JOIN models m USING (hypothesis_id, model) GROUP BY ALL)
+      FROM predictions{tag} p JOIN models m USING (hypothesis_id, model)
+      GROUP BY p.hypothesis_id, p.model, p.arm, m.metric, m.kind)
 GROUP BY hypothesis_id, model, metric, kind"""
     CTES["sizes" + tag] = f"""
 SELECT *, n_control >= 2 AND smallest >= 2 AS enough
@@ -318,7 +319,7 @@ weekly AS (
   JOIN (SELECT view.*, c.ctr AS expected_ctr FROM (SELECT *, {_BIN.replace("position", "coalesce(position, 1)")} AS bin FROM view) view
         JOIN (SELECT bin, ctr FROM curve) c USING (bin)) v
     ON v.page = p.page AND v.segment = p.segment AND v.date >= p.window_key + 7 * {_LO} AND v.date < p.window_key + 7 * {_END}
-  GROUP BY ALL),
+  GROUP BY p.hypothesis_id, p.metric, p.arm, p.window_key, p.page, p.role, p.name, 8),
 indexed AS (
   SELECT hypothesis_id, name, role, week, avg(100 * weekly / base) AS value
   FROM (SELECT *, avg(weekly) FILTER (WHERE week <= {_BASE})
@@ -534,7 +535,7 @@ def _query(final: str) -> str:
 
     def need(sql: str) -> None:
         for name in CTES:
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN|,)\s+\(*{name}\b", sql):
+            if name not in needed and re.search(rf"(?:\bFROM|\bJOIN|,)\s+\(*{name}\b", sql):
                 needed.add(name)
                 need(CTES[name])
 
@@ -576,7 +577,7 @@ FROM ev GROUP BY ALL""",
     "ctr_training_end": "SELECT train_end FROM train_end",
     "window_design": f"SELECT {_DESIGN} FROM design",
     "placebo_design": f"SELECT {_DESIGN} FROM design_p",
-    "ctr_curve": "SELECT bin, round(edge, 6) AS edge, clicks, impressions, round(ctr, 6) AS ctr, training_rows FROM curve",
+    "ctr_curve": "SELECT bin, CAST(edge AS DOUBLE) AS edge, clicks, impressions, round(ctr, 6) AS ctr, training_rows FROM curve",
     "ctr_expected": f"""SELECT date, page, {_PANEL}, round(ctr, 6) AS expected_ctr
 FROM (SELECT *, {_BIN} AS bin FROM page_panel WHERE impressions > 0) JOIN (SELECT bin, ctr FROM curve) c USING (bin)""",
     "page_windows": f"SELECT {_rounded(_WINDOW, 'value')} FROM windows",
