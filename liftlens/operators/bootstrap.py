@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from liftlens.functions.stats import effect_transform
 from liftlens.operators.predictions import arm_difference
 from liftlens.operators.ranking import spread_rank
-from liftlens.params import Params, models
+from liftlens.params import Params
 
 REPS_PER_BLOCK = 25
 
@@ -49,18 +49,16 @@ def control_pages(changes: DataFrame) -> DataFrame:
             .drop("cohorts"))
 
 
-def draws(changes: DataFrame, hyp: DataFrame, usable: DataFrame, p: Params, tag: str = "") -> DataFrame:
-    """Resampled effect per hypothesis, model and repetition, for the (hypothesis, model) pairs in
-    ``usable``.
+def draws(changes: DataFrame, usable: DataFrame, p: Params, tag: str = "") -> DataFrame:
+    """Resampled effect per hypothesis, model and repetition, for the few (hypothesis, model, kind,
+    metric) rows of ``usable``.
 
     Control pages are resampled once per repetition and shared by all arms and cohorts. Treated rows
     are resampled per arm. Drawn slots meet their page by an equi join on the slot, which spreads
     evenly; the planner broadcasts the page list when it is small and shuffles otherwise. Both sides
     are averaged per cohort before they meet, so nothing of size pages x pages is built.
     """
-    about = (models(hyp).select("hypothesis_id", "model", "kind", F.col("model_metric").alias("metric"))
-             .join(F.broadcast(usable), ["hypothesis_id", "model"], "left_semi"))
-    pairs = about.select("hypothesis_id", "model", "metric")
+    pairs = usable.select("hypothesis_id", "model", "metric")
 
     ranked = spread_rank(control_pages(changes), ["hypothesis_id", "metric"], ["page"])
     slots = (ranked.select("hypothesis_id", "metric", "slot", "n")
@@ -89,7 +87,7 @@ def draws(changes: DataFrame, hyp: DataFrame, usable: DataFrame, p: Params, tag:
     per_arm = (sums.join(control_means, ["hypothesis_id", "model", "rep", "arm", "window_key"], "left")
                .groupBy("hypothesis_id", "model", "metric", "rep", "arm")
                .agg((F.sum(change) / F.sum("rows")).alias("mean_diff"))
-               .join(F.broadcast(about.select("hypothesis_id", "model", "kind")), ["hypothesis_id", "model"])
+               .join(F.broadcast(usable.select("hypothesis_id", "model", "kind")), ["hypothesis_id", "model"])
                .withColumn("effect", effect_transform(F.col("mean_diff"), F.col("metric"))))
     return arm_difference(per_arm, ["hypothesis_id", "model", "rep"], "effect", "draw")
 

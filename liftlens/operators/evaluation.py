@@ -23,7 +23,7 @@ def sample_sizes(windows: DataFrame, pred: DataFrame, hyp: DataFrame) -> DataFra
     Page counts are distinct counts over (group, page) pairs; everything after them has one row per
     hypothesis, model and arm.
     """
-    about = models(hyp).select("hypothesis_id", "model", F.col("model_metric").alias("metric"))
+    about = models(hyp).select("hypothesis_id", "kind", "model", F.col("model_metric").alias("metric"))
     controls = (windows.where("eligible").groupBy("hypothesis_id", "metric")
                 .agg(F.countDistinct(F.when(F.col("role") == "control", F.col("page"))).cast("int").alias("n_control"),
                      F.min("n_days").alias("min_window_days")))
@@ -32,7 +32,7 @@ def sample_sizes(windows: DataFrame, pred: DataFrame, hyp: DataFrame) -> DataFra
     every_arm = about.join(F.broadcast(arms(hyp).select("hypothesis_id", "arm")), "hypothesis_id")
     listed = F.concat(F.lit("'"), F.col("arm"), F.lit("': "), F.col("pages").cast("string"))
     treated = (every_arm.join(F.broadcast(per_arm), ["hypothesis_id", "model", "arm"], "left")
-               .groupBy("hypothesis_id", "model", "metric")
+               .groupBy("hypothesis_id", "kind", "model", "metric")
                .agg(F.coalesce(F.sum("pages"), F.lit(0)).cast("int").alias("n_treated"),
                     F.min(F.coalesce("pages", F.lit(0))).alias("smallest_arm"),
                     F.array_join(F.array_sort(F.collect_list(listed)), ", ").alias("listed")))
@@ -40,19 +40,21 @@ def sample_sizes(windows: DataFrame, pred: DataFrame, hyp: DataFrame) -> DataFra
              .fillna(0, ["n_control", "min_window_days"]))
     enough = (F.col("n_control") >= 2) & (F.col("smallest_arm") >= 2)
     note = F.concat(F.lit("treated per arm {"), F.col("listed"), F.lit("}, control "), F.col("n_control").cast("string"))
-    return sized.select("hypothesis_id", "model", "metric", "n_treated", "n_control", "min_window_days",
+    return sized.select("hypothesis_id", "kind", "model", "metric", "n_treated", "n_control", "min_window_days",
                         enough.alias("enough"), F.when(enough, "").otherwise(note).alias("note"))
 
 
 def usable_models(sizes: DataFrame, wanted: list[str]) -> DataFrame:
-    return sizes.where(F.col("enough") & F.col("model").isin(wanted)).select("hypothesis_id", "model")
+    """Hypotheses and models with enough pages, with their kind and the metric the model reads."""
+    return (sizes.where(F.col("enough") & F.col("model").isin(wanted))
+            .select("hypothesis_id", "model", "kind", "metric"))
 
 
 def evaluate(sizes: DataFrame, effects: DataFrame, bounds: DataFrame, hyp: DataFrame, p: Params,
              run_id: str, wanted: list[str]) -> DataFrame:
     """One row per inferential hypothesis and wanted model. All inputs hold a few rows each."""
     keys = ["hypothesis_id", "model"]
-    about = hyp.drop("metric", "statement", "limitation", "horizon_days")
+    about = hyp.select("hypothesis_id", "segment", "intervention", "compare_to", "threshold")
     rows = (sizes.where(F.col("model").isin(wanted))
             .join(F.broadcast(about), "hypothesis_id")
             .join(F.broadcast(effects.select(*keys, "estimate")), keys, "left")
@@ -75,11 +77,10 @@ def evaluate(sizes: DataFrame, effects: DataFrame, bounds: DataFrame, hyp: DataF
         "status": F.when(enough, "estimated").otherwise("insufficient_data")}).select(METRIC_COLUMNS)
 
 
-def evaluate_models(windows: DataFrame, changes: DataFrame, pred: DataFrame, hyp: DataFrame, p: Params,
+def evaluate_models(sizes: DataFrame, changes: DataFrame, pred: DataFrame, hyp: DataFrame, p: Params,
                     run_id: str, wanted: list[str], tag: str = "") -> DataFrame:
-    """Sizes, effects, draws and intervals of the wanted models put together."""
-    sizes = sample_sizes(windows, pred, hyp)
-    drawn = draws(changes, hyp, usable_models(sizes, wanted), p, tag)
+    """Effects, draws and intervals of the wanted models put together."""
+    drawn = draws(changes, usable_models(sizes, wanted), p, tag)
     return evaluate(sizes, point_effects(pred, hyp), intervals(drawn, p), hyp, p, run_id, wanted)
 
 

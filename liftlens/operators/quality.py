@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftlens import constants as C
 from liftlens.params import Params, arms, inferential, small_table
+from liftlens.session import materialize
 
 ISSUE_COLUMNS = ["severity", "code", "file", "detail"]
 VALUES_PER_ROW = 1000
@@ -37,14 +38,19 @@ def _found(rows: DataFrame, code: str, file: str, detail: str) -> DataFrame:
     return _issues(rows.limit(1), code, file, F.lit(detail))
 
 
-def _counted(df: DataFrame, file: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
-    """Findings of row rules on one table, counted together in a single scan."""
-    counts = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"n{i}") for i, (_, bad, _) in enumerate(rules)])
+def _rule_counts(grouped: GroupedData, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """Rows that break each rule, per group; counting combines before the shuffle."""
+    return grouped.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"n{i}") for i, (_, bad, _) in enumerate(rules)])
+
+
+def _counted(counts: DataFrame, file: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """Findings of row rules from their counts."""
+    totals = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(rules))])
     found = [F.when(F.col(f"n{i}") > 0, F.struct(F.lit("error").alias("severity"), F.lit(code).alias("code"),
                                                   F.lit(file).alias("file"),
                                                   F.format_string(detail, F.col(f"n{i}")).alias("detail")))
              for i, (code, _, detail) in enumerate(rules)]
-    return counts.select(F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return totals.select(F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
 def _quoted_list(values: Column) -> Column:
@@ -107,23 +113,26 @@ def page_rules(pages: DataFrame, p: Params) -> list[DataFrame]:
 
 
 def panel_rules(gsc: DataFrame, pages: DataFrame) -> list[DataFrame]:
+    """Rules on the daily panel. One pass counts broken rows per page and segment; the row counts and
+    the unknown pages and segments are read from that small table. Duplicates take a second pass."""
     file = "gsc_daily.csv"
     clicks, impressions, position = (_number(c) for c in ("clicks", "impressions", "position"))
 
     def no_count(value):
         return value.isNull() | (value < 0) | (value % 1 != 0)
 
-    rows = _counted(gsc, file, [
+    rules = [
         ("bad_date", _bad_date(gsc, "date"), "%d rows"),
         ("negative_or_non_integer", no_count(clicks), "clicks: %d rows"),
         ("negative_or_non_integer", no_count(impressions), "impressions: %d rows"),
         ("clicks_gt_impressions", clicks > impressions, "%d rows"),
         ("position_out_of_range", (impressions > 0) & (position.isNull() | (position < 1)), "%d rows"),
-        ("position_without_impressions", (impressions == 0) & position.isNotNull(), "%d rows")])
-    unknown_pages = gsc.select("page").distinct().join(pages.select("page"), "page", "left_anti")
+        ("position_without_impressions", (impressions == 0) & position.isNotNull(), "%d rows")]
+    by_page = materialize(_rule_counts(gsc.groupBy("page", "segment"), rules), "panel_rules")
+    unknown_pages = by_page.select("page").distinct().join(pages.select("page"), "page", "left_anti")
     first = unknown_pages.orderBy("page").limit(5).agg(F.array_sort(F.collect_list("page")).alias("pages"))
-    unknown_segments = gsc.where(~F.col("segment").isin(C.SEGMENTS)).select(F.col("segment").alias("value"))
-    return [rows,
+    unknown_segments = by_page.where(~F.col("segment").isin(C.SEGMENTS)).select(F.col("segment").alias("value"))
+    return [_counted(by_page, file, rules),
             _duplicate(gsc, ["date", "page", "segment"], file, "date/page/segment must be unique"),
             _issues(first.where(F.size("pages") > 0), "unknown_page", file, _quoted_list(F.col("pages"))),
             _listed(unknown_segments, "unknown_segment", file)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ from liftlens.operators import report as R
 from liftlens.operators import windows as W
 from liftlens.operators.evaluation import trend_rows
 from liftlens.operators.page_facts import FACT_COLUMNS, page_facts
-from liftlens.params import hypotheses
 from liftlens.plans.site_audit import SiteAudit
 from liftlens.plans.study import Study
 from liftlens.session import materialize
@@ -39,9 +39,41 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "events")
 
 
-def study(spark: SparkSession, sf_dir: str) -> Study:
-    events = _events(spark, sf_dir)
-    return Study(spark, X.pages(events), X.gsc_daily(events), X.interventions(events), X.authority(events), X.STUDY, RUN_ID)
+class DriverStudy(Study):
+    """The study over the driver's events. The daily panel and the list of users are stored once, as
+    the raw tables of a snapshot would be, and only when a query reads them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.p, self.run_id = spark, X.STUDY, RUN_ID
+        self.events = _events(spark, sf_dir)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return materialize(X.users(self.events), "users")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return X.pages(self.users)
+
+    @cached_property
+    def gsc(self) -> DataFrame:
+        return materialize(X.gsc_daily(self.events, self.users), "gsc_daily")
+
+    @cached_property
+    def interventions(self) -> DataFrame:
+        return X.interventions(self.users)
+
+    @cached_property
+    def authority(self) -> DataFrame:
+        return X.authority(self.events)
+
+    @cached_property
+    def lighthouse(self) -> DataFrame:
+        return X.lighthouse(self.users)
+
+
+def study(spark: SparkSession, sf_dir: str) -> DriverStudy:
+    return DriverStudy(spark, sf_dir)
 
 
 def site(spark: SparkSession, sf_dir: str) -> SiteAudit:
@@ -77,8 +109,8 @@ def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lighthouse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
-    return rounded(R.lighthouse_summary(X.lighthouse(events), X.pages(events)))
+    s = study(spark, sf_dir)
+    return rounded(R.lighthouse_summary(s.lighthouse, s.pages))
 
 
 def pages_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +122,8 @@ def pages_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.validate(X.damaged_tables(_events(spark, sf_dir)), hypotheses(spark, X.STUDY), X.STUDY)
+    s = study(spark, sf_dir)
+    return quality.validate(X.damaged_tables(s.gsc, s.users, s.authority), s.hyp, s.p)
 
 
 def query_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +135,6 @@ class Results:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.study, self.site = study(spark, sf_dir), site(spark, sf_dir)
-        events = _events(spark, sf_dir)
         self.predictions = materialize(self.study.predictions, "predictions")
         self.study.predictions = self.predictions
         all_models = materialize(self.study.ablation(), "ablation")
@@ -111,7 +143,7 @@ class Results:
         main = all_models.where(F.col("model") == "did")
         self.metrics = main.unionByName(trend_rows(self.trend, self.study.p, RUN_ID))
         self.summary = materialize(self.site.summary, "audit_summary")
-        self.lighthouse = R.lighthouse_summary(X.lighthouse(events), X.pages(events))
+        self.lighthouse = R.lighthouse_summary(self.study.lighthouse, self.study.pages)
 
     @property
     def claims(self) -> DataFrame:

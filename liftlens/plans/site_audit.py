@@ -15,8 +15,8 @@ from liftlens.session import materialize
 
 @dataclass
 class SiteAudit:
-    """Lazy audit tables. The facts are stored once, because parsing the pages is the costly step and
-    several rules read its result; the crawl statuses are read without the page bodies."""
+    """Lazy audit tables. Parsing the pages is the costly step and several rules read its result, so the
+    facts are stored once. The rules on statuses read a stored index without the page bodies."""
 
     crawl: DataFrame
 
@@ -24,8 +24,12 @@ class SiteAudit:
     def facts(self) -> DataFrame:
         return materialize(page_facts(self.crawl), "page_facts")
 
+    @cached_property
+    def index(self) -> DataFrame:
+        return materialize(self.crawl.drop("html", "content_type"), "crawl_index")
+
     def issues(self) -> DataFrame:
-        return A.site_issues(self.facts, self.crawl)
+        return A.site_issues(self.facts, self.index)
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -22,8 +22,8 @@ from liftlens.session import materialize
 
 @dataclass
 class Study:
-    """Lazy tables of one study. Only page windows, which every later step reads several times, are
-    written once per use of the class; everything else stays part of the caller's plan."""
+    """Lazy tables of one study. Only what later steps read several times is written once: the page
+    windows, the page changes and the sample sizes. Everything else stays in the caller's plan."""
 
     spark: SparkSession
     pages: DataFrame
@@ -72,7 +72,15 @@ class Study:
 
     @cached_property
     def changes(self) -> DataFrame:
-        return W.pre_post(self.stored_windows)
+        return materialize(W.pre_post(self.stored_windows), "changes")
+
+    @cached_property
+    def placebo_changes(self) -> DataFrame:
+        return materialize(W.pre_post(self.stored_placebo_windows), "placebo_changes")
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return materialize(E.sample_sizes(self.stored_windows, self.predictions, self.hyp), "sizes")
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -80,16 +88,14 @@ class Study:
 
     @cached_property
     def placebo_predictions(self) -> DataFrame:
-        changes = W.pre_post(self.stored_placebo_windows)
-        return predictions(changes, self.cohorts(self.p.placebo_shift_days), self.hyp, self.p,
+        return predictions(self.placebo_changes, self.cohorts(self.p.placebo_shift_days), self.hyp, self.p,
                            self.run_id).where(F.col("model") == "did")
 
     def point_effects(self) -> DataFrame:
         return point_effects(self.predictions, self.hyp)
 
     def draws(self, wanted: list[str]) -> DataFrame:
-        sizes = E.sample_sizes(self.stored_windows, self.predictions, self.hyp)
-        return draws(self.changes, self.hyp, E.usable_models(sizes, wanted), self.p)
+        return draws(self.changes, E.usable_models(self.sizes, wanted), self.p)
 
     def intervals(self, wanted: list[str]) -> DataFrame:
         return intervals(self.draws(wanted), self.p)
@@ -98,24 +104,22 @@ class Study:
     def trend(self) -> DataFrame:
         return E.trend_asof(self.authority, self.interventions, self.hyp, self.p)
 
-    @cached_property
-    def all_models(self) -> DataFrame:
-        return E.evaluate_models(self.stored_windows, self.changes, self.predictions, self.hyp, self.p,
-                                 self.run_id, C.MODELS)
+    def _evaluate(self, wanted: list[str]) -> DataFrame:
+        return E.evaluate_models(self.sizes, self.changes, self.predictions, self.hyp, self.p, self.run_id, wanted)
 
     def evaluation(self) -> DataFrame:
         """Main model of every hypothesis and the descriptive trends."""
-        main = E.evaluate_models(self.stored_windows, self.changes, self.predictions, self.hyp, self.p,
-                                 self.run_id, C.MODELS[:1])
-        return main.unionByName(E.trend_rows(self.trend, self.p, self.run_id))
+        return self._evaluate(C.MODELS[:1]).unionByName(E.trend_rows(self.trend, self.p, self.run_id))
 
     def ablation(self) -> DataFrame:
-        return self.all_models
+        """Every model of the inferential hypotheses."""
+        return self._evaluate(C.MODELS)
 
     def placebo(self) -> DataFrame:
         """Main model on windows anchored before the real change."""
-        table = E.evaluate_models(self.stored_placebo_windows, W.pre_post(self.stored_placebo_windows),
-                                  self.placebo_predictions, self.hyp, self.p, self.run_id, C.MODELS[:1], "placebo")
+        sizes = materialize(E.sample_sizes(self.stored_placebo_windows, self.placebo_predictions, self.hyp), "placebo_sizes")
+        table = E.evaluate_models(sizes, self.placebo_changes, self.placebo_predictions, self.hyp, self.p, self.run_id,
+                                  C.MODELS[:1], "placebo")
         zero = (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)
         return table.withColumn("contains_zero", F.coalesce(zero, F.lit(False)))
 

@@ -34,8 +34,12 @@ def _page_id(user: F.Column) -> F.Column:
     return F.concat(F.lit("U"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
 
 
-def pages(events: DataFrame) -> DataFrame:
-    users = events.select("user_id").distinct()
+def users(events: DataFrame) -> DataFrame:
+    """The users seen in the events; each one stands for a page of the site."""
+    return events.select("user_id").distinct()
+
+
+def pages(users: DataFrame) -> DataFrame:
     group = F.element_at(F.array(*[F.lit(g) for g in [*C.DESIGN_GROUPS, STUDY.control_group]]),
                          (F.col("user_id") % 5 + 1).cast("int"))
     return users.select(_page_id(F.col("user_id")).alias("page"),
@@ -43,7 +47,7 @@ def pages(events: DataFrame) -> DataFrame:
                         group.alias("design_group"))
 
 
-def gsc_daily(events: DataFrame) -> DataFrame:
+def gsc_daily(events: DataFrame, users: DataFrame) -> DataFrame:
     """Daily rows for every page, segment and day. The empty grid joins the raw rows before the
     grouping, so map-side partial sums absorb hot users and one shuffle does all."""
     day = F.to_date("ts")
@@ -54,8 +58,7 @@ def gsc_daily(events: DataFrame) -> DataFrame:
                          (1 + F.col("value") / 5).alias("position"))
     span = events.agg(F.min(day).alias("first"), F.max(day).alias("last"))
     days = F.sequence(span.select("first").scalar(), span.select("last").scalar())
-    grid = (events.select("user_id").distinct()
-            .select(_page_id(F.col("user_id")).alias("page"), F.explode(days).alias("date"))
+    grid = (users.select(_page_id(F.col("user_id")).alias("page"), F.explode(days).alias("date"))
             .select("date", "page", F.explode(F.array(*[F.lit(s) for s in C.SEGMENTS])).alias("segment"),
                     F.lit(0).cast("bigint").alias("clicks"), F.lit(0).cast("bigint").alias("impressions"),
                     F.lit(None).cast("double").alias("position")))
@@ -64,16 +67,16 @@ def gsc_daily(events: DataFrame) -> DataFrame:
                  F.avg("position").alias("position")))
 
 
-def interventions(events: DataFrame) -> DataFrame:
+def interventions(users: DataFrame) -> DataFrame:
     user = F.col("user_id")
-    users = events.select("user_id").distinct().where(user % 5 < 4)
+    changed = users.where(user % 5 < 4)
     kinds = F.array(*[F.lit(g) for g in C.DESIGN_GROUPS])
     shift = (user % 5 + F.floor(user / 10) % 2).cast("int")
-    page_level = users.select(
+    page_level = changed.select(
         F.concat(F.lit("I"), user.cast("string")).alias("intervention_id"), _page_id(user).alias("page"),
         F.element_at(kinds, (user % 5 + 1).cast("int")).alias("type"),
         F.date_add(F.lit(date(2024, 1, 18)), shift).alias("date"), F.lit("").alias("description"))
-    site_wide = events.sparkSession.range(1).select(
+    site_wide = users.sparkSession.range(1).select(
         F.lit("L01").alias("intervention_id"), F.lit("*").alias("page"), F.lit("links").alias("type"),
         F.lit(date(2024, 1, 20)).alias("date"), F.lit("").alias("description"))
     return page_level.unionByName(site_wide)
@@ -94,12 +97,11 @@ def _hashed(text: F.Column, modulus: int) -> F.Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % modulus).cast("int")
 
 
-def lighthouse(events: DataFrame) -> DataFrame:
+def lighthouse(users: DataFrame) -> DataFrame:
     def drawn(measure, modulus):
         return _hashed(F.concat_ws("|", F.col("user_id").cast("string"), "snapshot", F.lit(measure)), modulus)
 
-    rows = (events.select("user_id").distinct()
-            .select("user_id", F.explode(F.array(*[F.lit(s) for s in C.SNAPSHOTS])).alias("snapshot")))
+    rows = users.select("user_id", F.explode(F.array(*[F.lit(s) for s in C.SNAPSHOTS])).alias("snapshot"))
     return rows.select(
         _page_id(F.col("user_id")).alias("page"), "snapshot",
         F.when(F.col("snapshot") == "before", F.lit(date(2024, 1, 10))).otherwise(F.lit(date(2024, 1, 28))).alias("date"),
@@ -156,9 +158,8 @@ def _at(day: int, user: int, segment: str | None = None) -> F.Column:
     return here if segment is None else here & (F.col("segment") == segment)
 
 
-def damaged_tables(events: DataFrame) -> dict[str, DataFrame]:
+def damaged_tables(gsc: DataFrame, users: DataFrame, site: DataFrame) -> dict[str, DataFrame]:
     """Whole study tables with a few broken rows, at least one per rule."""
-    gsc = gsc_daily(events)
     again = gsc.where(_at(8, 7, "local"))
     number = F.col("clicks").cast("double")
     broken = gsc.unionByName(again).select(
@@ -170,27 +171,27 @@ def damaged_tables(events: DataFrame) -> dict[str, DataFrame]:
         F.when(_at(3, 2, "general"), -1).when(_at(5, 4, "local"), F.greatest("impressions", F.lit(1)))
         .when(_at(9, 8, "local"), 0).otherwise(F.col("impressions")).alias("impressions"),
         F.when(_at(5, 4, "local"), 0.5).when(_at(9, 8, "local"), 3.0).otherwise(F.col("position")).alias("position"))
-    spark = events.sparkSession
+    spark = users.sparkSession
     extra = [("IX1", "U000004", "technical", "2024-01-18"), ("IX2", "P98", "content", "2024-01-18"),
              ("IX3", "U000000", "content", "2024-01-18"), ("IX4", "U000001", "links", "2024-01-18"),
              ("IX5", "U000002", "brand", "2024-01-18"), ("I0", "U000000", "technical", "2024-01-18"),
              ("IX6", "U000000", "technical", "soon")]
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(
         *[F.lit(v).alias(n) for n, v in zip(("intervention_id", "page", "type", "date"), row)]) for row in extra])))
-    changes = (interventions(events)
+    changes = (interventions(users)
                .where((F.col("type") != "accessibility") | (F.col("page") == "U000003"))
                .select("intervention_id", "page", "type", F.col("date").cast("string").alias("date"), "description")
                .unionByName(rows.withColumn("description", F.lit(""))))
-    listed = pages(events)
+    listed = pages(users)
     odd = spark.range(1).select(F.lit("P77").alias("page"), F.lit("https://site.test/x/").alias("url"),
                                 F.lit("mystery").alias("design_group"))
     before = F.col("snapshot") == "before"
-    scores = lighthouse(events).select(
+    scores = lighthouse(users).select(
         "page", F.when(before & (F.col("page") == "U000001"), "mid").otherwise(F.col("snapshot")).alias("snapshot"), "date",
         F.when(before & (F.col("page") == "U000000"), 101).otherwise(F.col("performance")).alias("performance"),
         "accessibility", F.when(~(before & (F.col("page") == "U000002")), F.col("seo")).alias("seo"),
         "lcp_ms", "cls", "inp_ms")
-    site = authority(events).select(F.col("date").cast("string").alias("date"), "metric", "source",
+    site = site.select(F.col("date").cast("string").alias("date"), "metric", "source",
                                     F.col("value").cast("string").alias("value"))
     bad = site.limit(0).unionByName(spark.range(1).select(
         F.lit("soon").alias("date"), F.lit("domain_authority").alias("metric"), F.lit("events").alias("source"),
