@@ -105,6 +105,6 @@ def site_issues(facts: DataFrame, crawl: DataFrame) -> DataFrame:
 def attach_page(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Page id by url, empty when the url is not a listed page."""
     listed = pages.groupBy("url").agg(F.max("page").alias("page"))
-    return (salted_join(rows, listed, ["url"], [c for c in rows.columns if c != "links"], "left")
+    return (rows.join(listed, "url", "left")
             .withColumn("page", F.coalesce("page", F.lit("")))
             .select("page", *rows.columns))

@@ -13,6 +13,7 @@ from liftlens.functions.stats import effect_transform
 from liftlens.operators.predictions import arm_difference
 from liftlens.operators.ranking import spread_rank
 from liftlens.params import Params
+from liftlens.session import materialize
 
 REPS_PER_BLOCK = 25
 
@@ -54,13 +55,14 @@ def draws(changes: DataFrame, usable: DataFrame, p: Params, tag: str = "") -> Da
     metric) rows of ``usable``.
 
     Control pages are resampled once per repetition and shared by all arms and cohorts. Treated rows
-    are resampled per arm. Drawn slots meet their page by an equi join on the slot, which spreads
-    evenly; the planner broadcasts the page list when it is small and shuffles otherwise. Both sides
-    are averaged per cohort before they meet, so nothing of size pages x pages is built.
+    are resampled per arm. The numbered pages are stored, so their size is known to the planner:
+    drawn slots meet them by an equi join on the slot, which spreads evenly, as a broadcast while they
+    are small and shuffled otherwise. Both sides are averaged per cohort before they meet, so nothing
+    of size pages x pages is built.
     """
     pairs = usable.select("hypothesis_id", "model", "metric")
 
-    ranked = spread_rank(control_pages(changes), ["hypothesis_id", "metric"], ["page"])
+    ranked = materialize(spread_rank(control_pages(changes), ["hypothesis_id", "metric"], ["page"]), "control_slots")
     slots = (ranked.select("hypothesis_id", "metric", "slot", "n")
              .join(F.broadcast(pairs.where(F.col("model") != "naive_prepost")), ["hypothesis_id", "metric"]))
     drawn = _repeat(slots, p).select(
@@ -71,9 +73,8 @@ def draws(changes: DataFrame, usable: DataFrame, p: Params, tag: str = "") -> Da
                      .groupBy("hypothesis_id", "model", "rep", "arm", "window_key")
                      .agg(F.avg("delta").alias("control_mean")))
 
-    treated = spread_rank(changes.where(F.col("role") == "treated")
-                          .select("hypothesis_id", "metric", "arm", "page", "window_key", "delta"),
-                          ["hypothesis_id", "metric", "arm"], ["page", "window_key"])
+    rows = changes.where(F.col("role") == "treated").select("hypothesis_id", "metric", "arm", "page", "window_key", "delta")
+    treated = materialize(spread_rank(rows, ["hypothesis_id", "metric", "arm"], ["page", "window_key"]), "treated_slots")
     slots = (treated.select("hypothesis_id", "metric", "arm", "slot", "n")
              .join(F.broadcast(pairs), ["hypothesis_id", "metric"]))
     drawn = _repeat(slots, p).select(

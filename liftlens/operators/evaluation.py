@@ -93,11 +93,11 @@ def trend_asof(authority: DataFrame, interventions: DataFrame, hyp: DataFrame, p
               .withColumn("horizon_end", F.date_add("start", F.col("horizon_days"))))
     point = F.struct(F.col("date"), F.col("value").cast("double").alias("value"))
     within = F.least(F.col("horizon_end"), available)
-    last = (F.broadcast(wanted).join(authority.where(F.col("date") <= available), "metric", "left")
-            .groupBy("hypothesis_id", "kind", "metric", "segment", "intervention", "compare_to", "threshold",
-                     "horizon_end")
-            .agg(F.max(F.when(F.col("date") <= F.col("start"), point)).alias("base"),
-                 F.max(F.when(F.col("date") <= within, point)).alias("latest")))
+    points = (authority.where(F.col("date") <= available).join(F.broadcast(wanted), "metric")
+              .groupBy("hypothesis_id")
+              .agg(F.max(F.when(F.col("date") <= F.col("start"), point)).alias("base"),
+                   F.max(F.when(F.col("date") <= within, point)).alias("latest")))
+    last = wanted.join(F.broadcast(points), "hypothesis_id", "left")
     found = F.col("base").isNotNull() & F.col("latest").isNotNull()
     change = F.col("latest.value") - F.col("base.value")
     complete = available >= F.col("horizon_end")

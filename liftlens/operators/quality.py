@@ -73,6 +73,12 @@ def _duplicate(df: DataFrame, keys: list[str], file: str, detail: str) -> DataFr
     return _found(repeated, "duplicate_key", file, detail)
 
 
+def missing_tables(tables: dict[str, DataFrame]) -> list[dict]:
+    """Study tables that are not there; the crawl indexes are checked as files."""
+    return [{"severity": "error", "code": "missing_file", "file": name, "detail": "required file is absent"}
+            for name in C.SNAPSHOT_FILES if name not in tables and not name.startswith("crawl/")]
+
+
 def missing_columns(tables: dict[str, DataFrame]) -> list[dict]:
     """Schema check on the driver: columns each table lacks."""
     found = []
@@ -84,8 +90,9 @@ def missing_columns(tables: dict[str, DataFrame]) -> list[dict]:
     return found
 
 
-def missing_files(spark: SparkSession, hashes: DataFrame) -> DataFrame:
-    expected = small_table(spark, [{"path": f} for f in C.REQUIRED_FILES if f != C.HASH_LIST],
+def missing_files(spark: SparkSession, hashes: DataFrame, has_hash_list: bool = True) -> DataFrame:
+    """Required files that are absent; the hash list is no part of the hashes and is told apart."""
+    expected = small_table(spark, [{"path": f} for f in C.REQUIRED_FILES if f != C.HASH_LIST or not has_hash_list],
                            pa.schema([("path", pa.string())]))
     absent = F.broadcast(expected).join(hashes.select("path"), "path", "left_anti")
     return absent.select(F.lit("error").alias("severity"), F.lit("missing_file").alias("code"),
@@ -213,10 +220,11 @@ def validate(tables: dict[str, DataFrame], hyp: DataFrame, p: Params, hashes: Da
              declared: DataFrame | None = None) -> DataFrame:
     """All findings on the tables of a snapshot, keyed by their file names.
 
-    File and hash rules apply when the hashes are given. Missing columns end the check early.
+    File and hash rules apply when the hashes are given; then a missing hash list is a finding too.
+    Missing tables or columns end the check early.
     """
     spark = hyp.sparkSession
-    absent = missing_columns(tables)
+    absent = missing_tables(tables) or missing_columns(tables)
     if absent:
         return small_table(spark, absent, pa.schema([(c, pa.string()) for c in ISSUE_COLUMNS]))
     pages, gsc, interventions = (tables[f"{n}.csv"] for n in ("pages", "gsc_daily", "interventions"))
@@ -224,7 +232,7 @@ def validate(tables: dict[str, DataFrame], hyp: DataFrame, p: Params, hashes: Da
              *lighthouse_rules(tables["lighthouse.csv"]), *authority_rules(tables["authority.csv"]),
              *sample_rules(interventions, pages, hyp, p)]
     if hashes is not None:
-        rules.append(missing_files(spark, hashes))
+        rules.append(missing_files(spark, hashes, declared is not None))
         rules += [missing_bodies(tables[f"crawl/{label}/index.csv"], hashes, label)
                   for label in C.SNAPSHOTS if f"crawl/{label}/index.csv" in tables]
     if hashes is not None and declared is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,11 +103,12 @@ def series_records(series: DataFrame) -> DataFrame:
 
 def result_export(metrics: DataFrame, series: DataFrame, ablation: DataFrame, placebo: DataFrame, summary: DataFrame,
                   lighthouse: DataFrame, authority: DataFrame, curve: DataFrame, period: DataFrame, hyp: DataFrame,
-                  p: Params, run_id: str, data_sha256: str | None = None) -> DataFrame:
+                  p: Params, run_id: str, data_sha256: str | None = None,
+                  truth: dict[str, float] | None = None) -> DataFrame:
     """One row with the result document as JSON; missing numbers are null.
 
     Every part is a report table, bounded by the hypotheses, weeks, issue names, design groups and the
-    site-level score series.
+    site-level score series. ``truth`` holds known effects of a synthetic scenario, if any.
     """
     model_label = constant_map(C.MODEL_LABELS)[F.col("model")]
     spark = metrics.sparkSession
@@ -122,5 +125,6 @@ def result_export(metrics: DataFrame, series: DataFrame, ablation: DataFrame, pl
         _records(summary, "category", "issue").alias("audit"),
         _records(lighthouse, "design_group", "snapshot").alias("lighthouse"),
         _records(authority, "date", "metric", "source").alias("authority"),
-        _records(curve, "bin").alias("ctr_curve"))
+        _records(curve, "bin").alias("ctr_curve"),
+        F.from_json(F.lit(json.dumps(truth)), "map<string,double>").alias("truth"))
     return spark.range(1).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

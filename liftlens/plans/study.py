@@ -22,8 +22,8 @@ from liftlens.session import materialize
 
 @dataclass
 class Study:
-    """Lazy tables of one study. Only what later steps read several times is written once: the page
-    windows, the page changes and the sample sizes. Everything else stays in the caller's plan."""
+    """Lazy tables of one study. Only what later steps read several times is written once: the click-rate
+    curve, the cohort windows, the page windows, the page changes and the sample sizes. Everything else stays in the caller's plan."""
 
     spark: SparkSession
     pages: DataFrame
@@ -51,10 +51,19 @@ class Study:
 
     @cached_property
     def curve(self) -> DataFrame:
-        return W.fit_ctr_curve(self.page_day, D.ctr_training_end(self.interventions, self.p), self.p)
+        """13 rows, stored once: each use would scan the training days again."""
+        return materialize(W.fit_ctr_curve(self.page_day, D.ctr_training_end(self.interventions, self.p), self.p), "curve")
 
     def cohorts(self, shift_days: int = 0) -> DataFrame:
-        return D.cohort_windows(self.hyp, self.interventions, self.p, shift_days)
+        """Windows per cohort, stored once: a few rows, but taken from all interventions."""
+        if shift_days not in self._cohorts:
+            windows = D.cohort_windows(self.hyp, self.interventions, self.p, shift_days)
+            self._cohorts[shift_days] = materialize(windows, "cohorts")
+        return self._cohorts[shift_days]
+
+    @cached_property
+    def _cohorts(self) -> dict[int, DataFrame]:
+        return {}
 
     def design(self, shift_days: int = 0) -> DataFrame:
         return D.build_design(self.cohorts(shift_days), self.pages, self.interventions, self.p)

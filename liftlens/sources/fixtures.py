@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that has fewer files than the cluster has cores; larger tables are
+    read in enough pieces already and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _page_id(user: F.Column) -> F.Column:
     digits = user.cast("string")
     return F.concat(F.lit("U"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
@@ -111,9 +118,6 @@ def lighthouse(users: DataFrame) -> DataFrame:
 
 def crawl(raw_pages: DataFrame) -> DataFrame:
     """Before and after crawls of the stored pages, plus the statuses of the linked targets."""
-    spark = raw_pages.sparkSession
-    if len(raw_pages.inputFiles()) < spark.sparkContext.defaultParallelism:
-        raw_pages = raw_pages.repartition(spark.sparkContext.defaultParallelism)
     key = F.col("page_id")
     gone = key % 23 == 0
     head = F.concat(
@@ -125,7 +129,7 @@ def crawl(raw_pages: DataFrame) -> DataFrame:
     labels = F.explode(F.array(*[F.lit(s) for s in C.SNAPSHOTS]))
     after = F.concat(F.substring_index("html", "<head>", 1), head,
                      F.expr("substring(html, instr(html, '<head>') + 6)"))
-    base = (raw_pages.select("page_id", "url", "html", labels.alias("label"))
+    base = (spread(raw_pages).select("page_id", "url", "html", labels.alias("label"))
             .select("label", "url", F.when(gone, 404).otherwise(200).alias("status"),
                     F.lit("text/html").alias("content_type"),
                     F.when(gone, "").when(F.col("label") == "after", after).otherwise(F.col("html")).alias("html"),

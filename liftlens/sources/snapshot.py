@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,15 @@ def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All tables of a snapshot folder by file name."""
-    return {name: read_raw_table(spark, f"{path}/{name}") for name in C.SNAPSHOT_FILES}
+    """The tables of a snapshot folder by file name; a file that is absent has no entry."""
+    tables = {}
+    for name in C.SNAPSHOT_FILES:
+        try:
+            tables[name] = read_raw_table(spark, f"{path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return tables
 
 
 def typed_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -117,6 +117,16 @@ def test_missing_columns_end_the_check(spark, tmp_path):
     assert codes(spark, root) == {("missing_columns", "authority.csv", "missing columns ['source']")}
 
 
+def test_missing_table_ends_the_check(spark, tmp_path):
+    root = write(tmp_path, FILES)
+    (tmp_path / "authority.csv").unlink()
+    tables = S.read_snapshot(spark, root)
+    rows = quality.validate(tables, hypotheses(spark, params(H1)), params(H1)).collect()
+    assert [(r.code, r.file) for r in rows] == [("missing_file", "authority.csv")]
+    listed = quality.missing_files(spark, HS.file_hashes(spark, root), has_hash_list=False).collect()
+    assert {r.file for r in listed} == {"authority.csv", C.HASH_LIST}
+
+
 def test_many_unknown_values_are_all_listed(spark):
     values = spark.range(2500).select(F.format_string("v%05d", "id").alias("value"))
     rows = quality._listed(values, "unknown_segment", "gsc_daily.csv").collect()
