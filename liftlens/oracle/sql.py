@@ -352,12 +352,12 @@ SELECT label, url, page_id, CASE WHEN page_id % 23 = 0 THEN 404 ELSE 200 END AS
                       THEN '<meta name="description" content="Page ' || page_id % 40 || '">' ELSE '' END) END AS html
 FROM pages, (VALUES ('before'), ('after')) s(label)"""
 CTES["parsed"] = f"""
-SELECT label, {_normal("url")} AS url, lower(regexp_extract(url, '{_URL}', 1)) || '://' || lower(regexp_extract(url, '{_URL}', 2)) AS origin,
+SELECT label, page_id, {_normal("url")} AS url, lower(regexp_extract(url, '{_URL}', 1)) || '://' || lower(regexp_extract(url, '{_URL}', 2)) AS origin,
        html, {_CLEAN} AS clean
 FROM crawl_pages WHERE status < 400 AND html <> ''"""
 CTES["edges"] = r"""
-SELECT label, src, CAST(anchor_pos - 1 AS INTEGER) AS anchor_pos, origin || href AS dst, href
-FROM (SELECT label, url AS src, origin, unnest(hrefs) AS href, unnest(range(1, len(hrefs) + 1)) AS anchor_pos
+SELECT label, page_id, src, CAST(anchor_pos - 1 AS INTEGER) AS anchor_pos, origin || href AS dst, href
+FROM (SELECT label, page_id, url AS src, origin, unnest(hrefs) AS href, unnest(range(1, len(hrefs) + 1)) AS anchor_pos
       FROM (SELECT *, list_filter(regexp_extract_all(clean, '(?i)<a [^>]*?href="([^"]*)"', 1),
                                   lambda h: starts_with(h, '/') AND NOT starts_with(h, '//')) AS hrefs FROM parsed))"""
 CTES["status_of"] = f"""
@@ -369,8 +369,6 @@ CTES["errors"] = f"""
 SELECT label, {_normal("url")} AS url, status FROM crawl_pages WHERE status >= 400
 UNION ALL SELECT label, url, status FROM status_of WHERE status >= 400
   AND (label, url) NOT IN (SELECT (label, {_normal("url")}) FROM crawl_pages)"""
-CTES["levels"] = r"""
-SELECT label, url, list_transform(regexp_extract_all(clean, '(?i)<h([1-6])[\s/>]', 1), lambda x: CAST(x AS INTEGER)) AS levels FROM parsed"""
 CTES["facts"] = r"""
 SELECT p.label, p.url, title, CAST(length(title) AS INTEGER) AS title_length, description AS meta_description,
        CAST(length(description) AS INTEGER) AS meta_description_length,
@@ -391,10 +389,10 @@ SELECT p.label, p.url, title, CAST(length(title) AS INTEGER) AS title_length, de
                             lambda t: NOT contains(t, 'aria-label'))) AS INTEGER) AS inputs_without_label
 FROM (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(clean, '(?is)<title[^>]*>(.*?)</title>', 1),
                '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title,
-             trim(regexp_extract(clean, '(?i)<meta name="description" content="([^"]*)"', 1)) AS description
+             trim(regexp_extract(clean, '(?i)<meta name="description" content="([^"]*)"', 1)) AS description,
+             list_transform(regexp_extract_all(clean, '(?i)<h([1-6])[\s/>]', 1), lambda x: CAST(x AS INTEGER)) AS levels
       FROM parsed) p
-JOIN levels USING (label, url)
-LEFT JOIN (SELECT label, src AS url, count(DISTINCT dst) AS n FROM edges GROUP BY ALL) USING (label, url)"""
+LEFT JOIN (SELECT label, page_id, count(DISTINCT dst) AS n FROM edges GROUP BY ALL) USING (label, page_id)"""
 _RULES = [
     ("title_length = 0", "missing_title", "''"),
     (f"title_length BETWEEN 1 AND {C.TITLE_MIN - 1}", "title_too_short", "title_length"),
@@ -415,8 +413,9 @@ CTES["fact_issues"] = "\nUNION ALL ".join(
     f"SELECT label, url, '{issue}' AS issue, CAST({detail} AS VARCHAR) AS detail FROM facts WHERE {condition}"
     for condition, issue, detail in _RULES)
 CTES["broken"] = """
-SELECT DISTINCT e.label, e.src AS url, 'broken_internal_link' AS issue, e.dst AS detail
-FROM edges e JOIN status_of s ON s.label = e.label AND s.url = e.dst AND s.status >= 400"""
+SELECT e.label, e.src AS url, 'broken_internal_link' AS issue, e.dst AS detail
+FROM (SELECT DISTINCT label, page_id, src, dst FROM edges) e
+JOIN status_of s ON s.label = e.label AND s.url = e.dst AND s.status >= 400"""
 for _column, _name in (("title", "duplicate_title"), ("meta_description", "duplicate_meta_description")):
     CTES[_name + "s"] = f"""
 SELECT label, url, '{_name}' AS issue, 'shared by ' || n || ' pages' AS detail
