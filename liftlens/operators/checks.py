@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlens import constants as C
 from liftlens.operators.predictions import duplicate_keys, point_effects
 from liftlens.params import Params
 

@@ -149,11 +149,14 @@ def test_crawl_folder_and_stored_crawl(spark, tmp_path):
 def test_tables_survive_storage(spark, tmp_path):
     df = frame(spark, [(date(2026, 1, 31), "a", True), (date(2026, 2, 1), "b", False)], "date date, page string, eligible boolean")
     S.write_table(df, str(tmp_path / "t"), monthly=True)
-    back = S.read_table(spark, str(tmp_path / "t"))
+    back = S.read_table(spark, str(tmp_path / "t")).select(df.columns)
     assert {(r.date, r.page, r.eligible) for r in back.collect()} == {tuple(r) for r in df.collect()}
     assert sorted(x.name for x in (tmp_path / "t").glob("month=*")) == ["month=2026-01-01", "month=2026-02-01"]
     assert HS.table_hash(df).first() == HS.table_hash(df.orderBy(F.desc("page"))).first()
     assert HS.table_hash(df).first() != HS.table_hash(df.limit(1)).first()
+    recorded = HS.table_hash(df).first().table_hash
+    assert Q.hash_matches(HS.table_hash(back), "table_hash", recorded, "design_hash").first().ok
+    assert not Q.hash_matches(HS.table_hash(df.limit(1)), "table_hash", recorded, "design_hash").first().ok
 
 
 def test_page_panel_weights_by_impressions(spark):
