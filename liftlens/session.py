@@ -7,16 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process, for ``release``.
+_WRITTEN: list[str] = []
+
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the session's checkpoint folder.
 
-    A folder of our own is set only where the session names none, as in unit tests.
+    A folder of our own is set only where the session names none and all tasks run in this process, as in unit
+    tests. On a cluster the setting is required: each executor would write to its own disk otherwise.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -29,4 +37,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written; call it when no result that reads them is needed any more."""
+    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
