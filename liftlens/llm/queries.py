@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlens.llm import bpe, sharding
+from liftlens.llm import bpe, licenses, mixing, quality, sharding
 
 VOCABULARY_FILE = "byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -44,7 +44,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
-LLM_QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and posterior quality of every document."""
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detected licenses of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and so how many words of, each document the mix takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
+
+
+LLM_QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op5_licenses": op5_licenses,
+               "op10_mixing": op10_mixing}
 
 #: The table is filled turn by turn: one recursion step for each turn of a shard, its first free slot by a scan of its order.
 OP2_SQL = """
