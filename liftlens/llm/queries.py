@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlens.llm import bpe, jaccard, licenses, mixing, quality, sharding, substrings
+from liftlens.llm import bpe, jaccard, licenses, lm, mixing, quality, sharding, substrings
 
 VOCABULARY_FILE = "byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -65,6 +65,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often, and so how many words of, each document the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -72,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op5_licenses": op5_licenses,
-               "op6_substrings": op6_substrings, "op8_jaccard": op8_jaccard, "op10_mixing": op10_mixing}
+               "op6_substrings": op6_substrings, "op8_jaccard": op8_jaccard, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
 
 #: The table is filled turn by turn: one recursion step for each turn of a shard, its first free slot by a scan of its order.
 OP2_SQL = """
