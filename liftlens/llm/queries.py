@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlens.llm import bpe, jaccard, licenses, lm, mixing, quality, sharding, substrings
+from liftlens.llm import bpe, jaccard, langid, licenses, lm, mixing, neighbours, quality, sharding, substrings
 
 VOCABULARY_FILE = "byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -49,6 +49,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and detected licenses of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -60,6 +66,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return jaccard.join(table(spark, sf_dir, "documents"))
@@ -76,8 +87,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
 
 
-LLM_QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op5_licenses": op5_licenses,
-               "op6_substrings": op6_substrings, "op8_jaccard": op8_jaccard, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
+LLM_QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_quality": op3_quality,
+               "op4_neighbours": op4_neighbours, "op5_licenses": op5_licenses, "op6_substrings": op6_substrings,
+               "op7_langid": op7_langid, "op8_jaccard": op8_jaccard, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
 
 #: The table is filled turn by turn: one recursion step for each turn of a shard, its first free slot by a scan of its order.
 OP2_SQL = """
