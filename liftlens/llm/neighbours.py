@@ -81,17 +81,18 @@ def start(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
             if batch.num_rows:
                 near = _matrix(batch.column(1)) @ shared.value.T
                 for part in range(STARTS):
-                    cell = near[:, part::STARTS].argmax(1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell * STARTS + part)], names=["id", "vec", "cell"])
+                    cell = near[:, part::STARTS].argmax(1) if len(shared.value) > part else np.zeros(batch.num_rows, np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cell * STARTS + part)], names=["id", "half", "cell"])
 
     def inside(group: pa.Table) -> pa.Table:
-        ids, x = group["id"].to_numpy(), _matrix(group["vec"])
+        ids = group["id"].to_numpy()
+        x = np.frombuffer(b"".join(group["half"].to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
         scores = x @ x.T
         np.fill_diagonal(scores, -np.inf)
         v, s = _best(scores, ids, K)
         return pa.Table.from_batches([_edges(np.repeat(ids, v.shape[1]), v.ravel(), s.ravel())])
 
-    placed = materialize(nodes.mapInArrow(cells, "id long, vec array<float>, cell long"), "cells")
+    placed = materialize(nodes.mapInArrow(cells, "id long, half binary, cell long"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("chunks"))
     chunk = F.pmod(F.xxhash64("id", "cell"), F.col("chunks"))
     return (placed.join(sizes, "cell").withColumn("chunk", chunk).groupBy("cell", "chunk")
@@ -201,10 +202,14 @@ def nearest(df: DataFrame, is_query: Column, n: int, id_col: str = "vec_id", vec
     classes = rows.groupBy("vec").agg(F.min("id").alias("node"))
     of = materialize(rows.join(classes, "vec").select("id", "node", "vec"), "vector_classes")
 
+    # With one more component that makes all lengths equal, large vectors are not everybody's neighbours in the graph.
+    longest = of.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x))).first()[0] or 1.0
+
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.clip(_matrix(batch.column(1)), -60000, 60000).astype(np.float16)
+                x = _matrix(batch.column(1), np.float64) / np.sqrt(longest)
+                x = np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(1, keepdims=True), 0))]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec", "half"])
 
     nodes = materialize(of.where("id = node").select("id", "vec").mapInArrow(halves, "id long, vec array<float>, half binary"), "nodes")
