@@ -128,7 +128,7 @@ def rules() -> list[dict]:
         for version in f.versions:
             whole, words = version.removesuffix(".0"), version.replace(".", " ")
             number = f"(?:{words}|{whole})" if "." not in whole else words
-            of(f"{f.label}-{version}", f"{f.name}(?: version| v)? {number}(?: or (?:any )?later(?: version)?)?", VERSION)
+            of(f"{f.label}-{version}", f"{f.name}(?: version)? v?{number}(?: or (?:any )?later(?: version)?)?", VERSION)
             of(f"{f.label}-{version}", f"spdx licen[cs]e identifier {f.tag} {words}(?: only| or later)?", TAG, keyword="spdx")
     return found
 
