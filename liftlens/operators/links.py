@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlens.functions import html as H
 from liftlens.functions.urls import normalize_url, page_base
 from liftlens.operators.audit import crawled_status
 from liftlens.operators.page_facts import page_links, with_content
-from liftlens.params import small_table
 from liftlens.session import materialize
 
-DEFAULT_MAX_PAGES = 200
-
 
 def edges(crawl: DataFrame) -> DataFrame:
     """Internal links (label, src, dst, anchor_pos) of the pages with content, in anchor order."""
@@ -25,33 +21,45 @@ def edges(crawl: DataFrame) -> DataFrame:
     return parsed.select("label", "src", F.posexplode(page_links(F.col("anchors"), F.col("base"))).alias("anchor_pos", "dst"))
 
 
-def reachable(edge_rows: DataFrame, crawl: DataFrame, start_url: str, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """Pages reached from ``start_url`` in breadth-first order, at most ``max_pages`` of them.
+def _numbered(rows: DataFrame, order: str, first: int) -> DataFrame:
+    """Rows with ``crawl_order`` from ``first`` on, in the order of a column: sorted ranges are numbered on their own and
+    shifted by the sizes of the ranges before them, one number for each range."""
+    ranges = materialize(rows.repartitionByRange(order).sortWithinPartitions(order)
+                         .select("*", F.monotonically_increasing_id().alias("at")), "ranges")
+    part = F.shiftright("at", 33)
+    sizes = ranges.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return (ranges.withColumn("part", part).join(F.broadcast(offsets), "part")
+            .withColumn("crawl_order", (F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1) + first).cast("long")).drop("part", "at", "offset"))
+
+
+def reachable(edge_rows: DataFrame, crawl: DataFrame, start_url: str, max_pages: int | None = None) -> DataFrame:
+    """Pages reached from ``start_url`` in breadth-first order: all of them, or the first ``max_pages``.
 
-    ``max_pages`` bounds the visited list, so the list is kept on the driver and joined by broadcast:
-    a level costs one scan of the stored edges without a shuffle of them, and a distributed top-k
-    picks the next pages in (parent order, anchor) order. Unknown urls count as status 404 and are
-    not followed.
+    One round for each level. The pages seen are a table that a round extends: the links of the last level's pages, without
+    targets seen before, are grouped by target and numbered in (parent order, anchor) order. Only the number of new pages
+    comes to the driver. Unknown urls count as status 404 and are not followed.
     """
     spark = crawl.sparkSession
-    stored = materialize(edge_rows.select("src", "dst", "anchor_pos").repartitionByRange("src")
-                         .sortWithinPartitions("src"), "edges")
-    start = spark.range(1).select(normalize_url(F.lit(start_url))).first()[0]
-    visited = [{"crawl_order": 0, "url": start, "level": 0}]
-    schema = pa.schema([("crawl_order", pa.int32()), ("url", pa.string()), ("level", pa.int32())])
-    frontier, level = visited, 0
-    while frontier and len(visited) < max_pages:
+    stored = materialize(edge_rows.select("src", "dst", "anchor_pos"), "edges")
+    visited = frontier = materialize(spark.range(1).select(
+        normalize_url(F.lit(start_url)).alias("url"), F.lit(0).alias("level"), F.col("id").alias("crawl_order")), "visited")
+    total, level = 1, 0
+    while max_pages is None or total < max_pages:
         level += 1
-        parents = small_table(spark, frontier, schema).select(F.col("url").alias("src"), "crawl_order")
-        seen = small_table(spark, visited, schema).select(F.col("url").alias("dst"))
-        found = (stored.join(F.broadcast(parents), "src")
-                 .join(F.broadcast(seen), "dst", "left_anti")
+        found = (stored.join(frontier.select(F.col("url").alias("src"), "crawl_order"), "src")
                  .groupBy("dst").agg(F.min(F.struct("crawl_order", "anchor_pos")).alias("place"))
-                 .orderBy("place").limit(max_pages - len(visited)).select("dst").collect())
-        frontier = [{"crawl_order": len(visited) + i, "url": row["dst"], "level": level} for i, row in enumerate(found)]
-        visited = visited + frontier
+                 .join(visited.select(F.col("url").alias("dst")), "dst", "left_anti"))
+        frontier = materialize(_numbered(found, "place", total).select(F.col("dst").alias("url"), F.lit(level).alias("level"), "crawl_order"),
+                               "visited")
+        new = frontier.count()
+        if not new:
+            break
+        total += new
+        visited = visited.unionByName(frontier)
+    if max_pages is not None:
+        visited = visited.where(F.col("crawl_order") < max_pages)
     status = crawled_status(crawl).select("url", "status")
-    order = small_table(spark, visited, schema)
-    known = status.join(F.broadcast(order.select("url")), "url", "left_semi")
-    return (order.join(F.broadcast(known), "url", "left")
-            .select("crawl_order", "url", "level", F.coalesce("status", F.lit(404)).alias("status")))
+    return visited.join(status, "url", "left").select(
+        F.col("crawl_order").cast("int").alias("crawl_order"), "url", "level", F.coalesce("status", F.lit(404)).alias("status"))

@@ -113,7 +113,8 @@ def _schema_types(bodies: Column) -> Column:
         kinds = F.transform(F.filter(items, lambda i: i.isNotNull()), lambda i: F.get_json_object(i, "$['@type']"))
         return F.flatten(F.transform(
             F.filter(kinds, lambda k: k.isNotNull() & (k != "")),
-            lambda k: F.when(k.startswith("["), F.from_json(k, "array<string>")).otherwise(F.array(k))))
+            lambda k: F.when(k.startswith("[") & F.json_array_length(k).isNotNull(), F.from_json(k, "array<string>"))
+            .otherwise(F.array(k))))
 
     return F.array_sort(F.flatten(F.transform(bodies, of)))
 

@@ -14,7 +14,6 @@ from liftlens.params import Params, arms, inferential, small_table
 from liftlens.session import materialize
 
 ISSUE_COLUMNS = ["severity", "code", "file", "detail"]
-VALUES_PER_ROW = 1000
 
 
 def _number(name: str) -> Column:
@@ -53,19 +52,9 @@ def _counted(counts: DataFrame, file: str, rules: list[tuple[str, Column, str]])
     return totals.select(F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
-def _quoted_list(values: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "),
-                    F.lit("]"))
-
-
 def _listed(values: DataFrame, code: str, file: str) -> DataFrame:
-    """Distinct unknown values (column ``value``) as a sorted list. Far too many values go into
-    several rows, so no single list grows without bound and none is dropped."""
-    distinct = values.distinct()
-    total = distinct.agg(F.count("*").alias("n")).select("n").scalar()
-    part = F.pmod(F.xxhash64("value"), F.greatest(F.ceil(total / VALUES_PER_ROW), F.lit(1)))
-    lists = distinct.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list("value")).alias("values"))
-    return _issues(lists, code, file, _quoted_list(F.col("values")))
+    """One finding for each distinct unknown value (column ``value``)."""
+    return _issues(values.distinct(), code, file, F.coalesce("value", F.lit("")))
 
 
 def _duplicate(df: DataFrame, keys: list[str], file: str, detail: str) -> DataFrame:
@@ -137,11 +126,10 @@ def panel_rules(gsc: DataFrame, pages: DataFrame) -> list[DataFrame]:
         ("position_without_impressions", (impressions == 0) & position.isNotNull(), "%d rows")]
     by_page = materialize(_rule_counts(gsc.groupBy("page", "segment"), rules), "panel_rules")
     unknown_pages = by_page.select("page").distinct().join(pages.select("page"), "page", "left_anti")
-    first = unknown_pages.orderBy("page").limit(5).agg(F.array_sort(F.collect_list("page")).alias("pages"))
     unknown_segments = by_page.where(~F.col("segment").isin(C.SEGMENTS)).select(F.col("segment").alias("value"))
     return [_counted(by_page, file, rules),
             _duplicate(gsc, ["date", "page", "segment"], file, "date/page/segment must be unique"),
-            _issues(first.where(F.size("pages") > 0), "unknown_page", file, _quoted_list(F.col("pages"))),
+            _listed(unknown_pages.select(F.col("page").alias("value")), "unknown_page", file),
             _listed(unknown_segments, "unknown_segment", file)]
 
 

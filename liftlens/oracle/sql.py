@@ -64,8 +64,7 @@ UNION ALL SELECT 'L01', '*', 'links', DATE '2024-01-20', ''"""
 CTES["authority_site"] = """
 SELECT d AS date, 'domain_authority' AS metric, 'events' AS source, floor(running / (total / 30)) AS value
 FROM (SELECT d, sum(n) OVER (ORDER BY d) AS running, sum(n) OVER () AS total
-      FROM (SELECT d, count(*) AS n FROM ev GROUP BY d))
-WHERE day(d) IN (1, 8, 15, 20, 27)"""
+      FROM (SELECT d, count(*) AS n FROM ev GROUP BY d))"""
 CTES["scores"] = """
 SELECT page, snapshot, CASE WHEN snapshot = 'before' THEN DATE '2024-01-10' ELSE DATE '2024-01-28' END AS date,
 """ + ",\n".join(
@@ -451,7 +450,7 @@ SELECT CASE WHEN {_at(7, 6)} THEN 'soon' ELSE CAST(date AS VARCHAR) END AS date,
        CASE WHEN {_at(5, 4, "local")} THEN 0.5 WHEN {_at(9, 8, "local")} THEN 3.0 ELSE position END AS position
 FROM (SELECT * FROM gsc UNION ALL SELECT * FROM gsc WHERE {_at(8, 7, "local")})"""
 CTES["bad_changes"] = """
-SELECT intervention_id, page, type, CAST(date AS VARCHAR) AS date FROM changes WHERE type <> 'accessibility' OR page = 'U000003'
+SELECT intervention_id, page, type, CAST(date AS VARCHAR) AS date FROM changes
 UNION ALL """ + _values([
     ("IX1", "U000004", "technical", "2024-01-18"), ("IX2", "P98", "content", "2024-01-18"),
     ("IX3", "U000000", "content", "2024-01-18"), ("IX4", "U000001", "links", "2024-01-18"),
@@ -485,8 +484,7 @@ def _once(code: str, file: str, detail: str, rows: str) -> str:
 
 
 def _listing(code: str, file: str, column: str, rows: str) -> str:
-    return (f"SELECT '{code}', '{file}', '[' || string_agg('''' || v || '''', ', ' ORDER BY v) || ']' "
-            f"FROM (SELECT DISTINCT {column} AS v FROM {rows}) HAVING count(*) > 0")
+    return f"SELECT DISTINCT '{code}', '{file}', {column} FROM {rows}"
 
 
 _GSC_DATE = "TRY_CAST(date AS DATE) IS NULL"
@@ -505,7 +503,7 @@ CTES["findings"] = "\nUNION ALL ".join([
     _listing("unknown_design_group", "pages.csv", "design_group",
              "bad_pages WHERE design_group NOT IN ('technical', 'content', 'local', 'accessibility', 'control')"),
     _listing("unknown_page", "gsc_daily.csv", "page",
-             "(SELECT DISTINCT page FROM bad_gsc WHERE page NOT IN (SELECT page FROM bad_pages) ORDER BY page LIMIT 5)"),
+             "bad_gsc WHERE page NOT IN (SELECT page FROM bad_pages)"),
     _listing("unknown_segment", "gsc_daily.csv", "segment", "bad_gsc WHERE segment NOT IN ('local', 'general')"),
     _listing("unknown_type", "interventions.csv", "type",
              "bad_changes WHERE type NOT IN ('technical', 'content', 'local', 'accessibility', 'links')"),
@@ -522,7 +520,7 @@ CTES["findings"] = "\nUNION ALL ".join([
     _once("non_numeric", "authority.csv", "value must be numeric",
           "SELECT 1 FROM bad_authority WHERE TRY_CAST(value AS DOUBLE) IS NULL"),
     "SELECT 'too_few_pages', 'interventions.csv', hypothesis_id || ': ' || type || ' has ' || n || ' treated pages (need >= 2)' "
-    "FROM (SELECT a.hypothesis_id, a.type, count(DISTINCT c.page) AS n FROM arms a LEFT JOIN bad_changes c ON c.type = a.type GROUP BY ALL) WHERE n < 2",
+    "FROM (SELECT a.hypothesis_id, a.type, count(DISTINCT c.page) AS n FROM (SELECT hypothesis_id, type FROM arms UNION ALL SELECT 'H6', 'links') a LEFT JOIN bad_changes c ON c.type = a.type AND c.type <> 'links' GROUP BY ALL) WHERE n < 2",
     "SELECT 'too_few_pages', 'pages.csv', hypothesis_id || ': control has ' || n || ' pages' "
     "FROM hyp, (SELECT count(*) AS n FROM bad_pages WHERE design_group = 'control') WHERE kind <> 'descriptive' AND n < 2",
 ])
@@ -602,9 +600,8 @@ FROM evaluation e JOIN hyp h USING (hypothesis_id)""",
     "page_issues": "SELECT label, url, issue, category, detail FROM issues",
     "duplicate_titles": "SELECT label, url, issue, 'content' AS category, detail FROM duplicate_titles",
     "broken_links": "SELECT label, url, issue, 'technical' AS category, detail FROM broken",
-    "pages_with_issues": f"""SELECT coalesce(l.page, '') AS page, i.label, i.url, i.issue, c.category, i.detail
-FROM fact_issues i JOIN categories c USING (issue)
-LEFT JOIN (SELECT {_normal("url")} AS url, max('P' || page_id) AS page FROM pages WHERE page_id % 2 = 0 GROUP BY 1) l USING (url)""",
+    "pages_with_issues": f"""SELECT coalesce(l.page, '') AS page, i.label, i.url, i.issue, i.category, i.detail
+FROM issues i LEFT JOIN (SELECT {_normal("url")} AS url, max('P' || page_id) AS page FROM pages GROUP BY 1) l USING (url)""",
     "audit_summary": 'SELECT category, issue, before, "after" FROM summary',
     "audit_category_totals": f"""SELECT category, CAST(coalesce(sum(before), 0) AS BIGINT) AS before, CAST(coalesce(sum("after"), 0) AS BIGINT) AS "after"
 FROM ({_values([(c,) for c in C.CATEGORIES], "category")}) LEFT JOIN summary USING (category) GROUP BY category""",
@@ -629,14 +626,16 @@ SELECT 'C-AUDIT', '{C.CLAIM_AUDIT_SECTION}', printf({_text(C.CLAIM_AUDIT)}, CAST
        '{C.CLAIM_AUDIT_FILE}', 'all rows', 'sum(before)', CAST(sum(before) AS DOUBLE), '', {_text(C.CLAIM_AUDIT_LIMIT)}
 FROM summary""",
     "reachable_pages": f""", reach AS (
-  SELECT {_normal("url")} AS url, 0 AS level FROM pages WHERE page_id = 1
-  UNION
-  SELECT e.dst, r.level + 1 FROM reach r JOIN edges e ON e.src = r.url AND e.label = 'before' WHERE r.level < 20),
-first AS (SELECT url, min(level) AS level FROM reach GROUP BY url),
-ordered AS (SELECT f.url, f.level, coalesce(min(e.anchor_pos), 0) AS pos FROM first f
-            LEFT JOIN (SELECT e.* FROM edges e JOIN first p ON p.url = e.src WHERE e.label = 'before') e ON e.dst = f.url AND f.level > 0
-            GROUP BY ALL)
-SELECT CAST(row_number() OVER (ORDER BY level, pos) - 1 AS INTEGER) AS crawl_order, o.url, CAST(level AS INTEGER) AS level,
+  SELECT 0 AS level, [{_normal("url")}] AS visited, [{_normal("url")}] AS frontier FROM pages WHERE page_id = 1
+  UNION ALL
+  SELECT level + 1, list_concat(visited, found), found
+  FROM (SELECT level, visited, list(dst ORDER BY place) AS found
+        FROM (SELECT r.level, r.visited, e.dst, min((list_position(r.frontier, e.src), e.anchor_pos)) AS place
+              FROM reach r JOIN edges e ON list_contains(r.frontier, e.src)
+              WHERE e.label = 'before' AND NOT list_contains(r.visited, e.dst) GROUP BY r.level, r.visited, e.dst)
+        GROUP BY level, visited)),
+ordered AS (SELECT level, unnest(frontier) AS url, generate_subscripts(frontier, 1) AS place FROM reach)
+SELECT CAST(row_number() OVER (ORDER BY level, place) - 1 AS INTEGER) AS crawl_order, o.url, CAST(level AS INTEGER) AS level,
        coalesce(s.status, 404) AS status
 FROM ordered o LEFT JOIN status_of s ON s.url = o.url AND s.label = 'before'""",
 }

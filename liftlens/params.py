@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from liftlens import constants as C
 
 
+def _require(holds: bool, what: str) -> None:
+    """Settings are checked under ``python -O`` too."""
+    if not holds:
+        raise ValueError(f"bad setting: {what}")
+
+
 @dataclass(frozen=True)
 class Hypothesis:
     id: str
@@ -26,16 +32,16 @@ class Hypothesis:
     limitation: str = ""
 
     def __post_init__(self):
-        assert self.kind in C.KINDS, self.kind
-        assert self.metric in C.METRICS, self.metric
-        assert self.intervention in C.INTERVENTION_TYPES, self.intervention
-        assert self.segment in [C.ALL_SEGMENTS, *C.SEGMENTS], self.segment
+        _require(self.kind in C.KINDS, self.kind)
+        _require(self.metric in C.METRICS, self.metric)
+        _require(self.intervention in C.INTERVENTION_TYPES, self.intervention)
+        _require(self.segment in [C.ALL_SEGMENTS, *C.SEGMENTS], self.segment)
         if self.kind == "did_difference":
-            assert self.compare_to in C.INTERVENTION_TYPES, "did_difference needs compare_to"
+            _require(self.compare_to in C.INTERVENTION_TYPES, "did_difference needs compare_to")
         if self.kind == "descriptive":
-            assert isinstance(self.horizon_days, int), "descriptive needs horizon_days"
+            _require(isinstance(self.horizon_days, int), "descriptive needs horizon_days")
         else:
-            assert self.metric != "domain_authority", "domain_authority is site-level"
+            _require(self.metric != "domain_authority", "domain_authority is site-level")
 
 
 @dataclass(frozen=True)
@@ -59,11 +65,15 @@ class Params:
 
     def __post_init__(self):
         ids = [h.id for h in self.hypotheses]
-        assert len(ids) == len(set(ids)), "hypothesis ids must be unique"
-        assert self.bootstrap_reps >= 100, "bootstrap_reps must be >= 100"
-        assert 0.5 < self.ci_level < 1, "ci_level must be in (0.5, 1)"
-        assert self.multiplicity in ("bonferroni", "none"), self.multiplicity
-        assert self.mode in C.MODE_LABELS, self.mode
+        _require(len(ids) == len(set(ids)), "hypothesis ids must be unique")
+        _require(self.bootstrap_reps >= 100, "bootstrap_reps must be >= 100")
+        _require(0.5 < self.ci_level < 1, "ci_level must be in (0.5, 1)")
+        _require(self.multiplicity in ("bonferroni", "none"), self.multiplicity)
+        _require(self.mode in C.MODE_LABELS, self.mode)
+        for name in ("gsc_lag_days", "buffer_days", "ramp_days", "min_days_per_window", "placebo_shift_days"):
+            _require(getattr(self, name) >= 0, f"{name} must not be negative")
+        _require(self.pre_days > 0 and self.post_days > 0, "windows need days")
+        _require(0 < self.min_post_days <= self.post_days, "min_post_days must lie within post_days")
 
     def with_(self, **changes) -> Params:
         return replace(self, **changes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from liftlens.operators import report as R
 from liftlens.operators import windows as W
 from liftlens.operators.evaluation import trend_rows
 from liftlens.operators.page_facts import FACT_COLUMNS, page_facts
+from liftlens.params import hypotheses
 from liftlens.plans.site_audit import SiteAudit
 from liftlens.plans.study import Study
 from liftlens.session import materialize
@@ -114,16 +116,16 @@ def lighthouse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues with the id of the listed page; the crawled pages with an even number are listed."""
+    """All issues with the id of the listed page; linked targets that were crawled but are no listed page have none."""
     raw = X.table(spark, sf_dir, "pages")
-    listed = raw.where(F.col("page_id") % 2 == 0).select(
-        F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("page"), normalize_url(F.col("url")).alias("url"))
-    return A.attach_page(A.page_issues(page_facts(X.crawl(raw))), listed)
+    listed = raw.select(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("page"), normalize_url(F.col("url")).alias("url"))
+    return A.attach_page(site(spark, sf_dir).issues(), listed)
 
 
 def dq_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = study(spark, sf_dir)
-    return quality.validate(X.damaged_tables(s.gsc, s.users, s.authority), s.hyp, s.p)
+    hyp = hypotheses(spark, replace(s.p, hypotheses=(*s.p.hypotheses, X.RARE)))
+    return quality.validate(X.damaged_tables(s.gsc, s.users, s.authority), hyp, s.p)
 
 
 def query_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

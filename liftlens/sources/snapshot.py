@@ -13,9 +13,12 @@ TEXT_COLUMNS = ["page", "url", "design_group", "segment", "date", "intervention_
                 "snapshot", "metric", "source", "file", "content_type"]
 
 
-def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table with every column as text under its header name; nothing is inferred."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+def read_raw_table(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
+    """A CSV table with every column as text under its header name; nothing is inferred.
+
+    Quoted cells may hold line breaks, so a file is read whole; the daily panel, which has none, is ``splittable``.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", not splittable).csv(path)
     return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in TEXT_COLUMNS else F.col(c)
                         for c in raw.columns])
 
@@ -25,7 +28,7 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     tables = {}
     for name in C.SNAPSHOT_FILES:
         try:
-            tables[name] = read_raw_table(spark, f"{path}/{name}")
+            tables[name] = read_raw_table(spark, f"{path}/{name}", name == "gsc_daily.csv")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -33,10 +36,17 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def typed_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Study tables with their types; meant for a snapshot that passed validation."""
+    """Study tables with their types; a cell that is not empty and has no value of its type is an error.
+
+    Whole numbers may be written with decimals, as in ``10.0``.
+    """
+    def value(c, kind):
+        typed = F.col(c).try_cast("decimal(38,9)").try_cast(kind) if kind in ("int", "bigint") else F.col(c).try_cast(kind)
+        lost = typed.isNull() & (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "")
+        return F.when(lost, F.raise_error(F.concat(F.lit(f"{c} is no {kind}: "), F.col(c).cast("string"))).cast(kind)).otherwise(typed)
+
     def cast(name, **types):
-        return raw[name].select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c)
-                                  for c in C.SNAPSHOT_FILES[name]])
+        return raw[name].select(*[value(c, types[c]).alias(c) if c in types else F.col(c) for c in C.SNAPSHOT_FILES[name]])
 
     scores = {m: "int" for m in C.SCORES}
     return {
@@ -51,12 +61,15 @@ def typed_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def read_crawl(spark: SparkSession, path: str, label: str) -> DataFrame:
     """A crawl folder: the index joined with the body files it names; no body is empty text.
 
-    ``seq`` keeps the order of the index, in which the last status of a repeated url counts.
+    A body is found by its path below the folder, whatever its name. A named file that is absent gives empty text here
+    and a finding in the validation. ``seq`` keeps the order of the index, in which the last status of a repeated url counts.
     """
     index = (read_raw_table(spark, f"{path}/index.csv")
              .withColumn("seq", F.monotonically_increasing_id()))
-    bodies = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.html").load(path)
-              .select(F.col("_metadata.file_name").alias("file"),
+    root = path.split(":", 1)[-1].strip("/")
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    bodies = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+              .select(F.regexp_extract(place, r"^(?:[a-z0-9]+:/*)?\Q" + root + r"\E/(.*)$", 1).alias("file"),
                       F.regexp_replace("value", "\r\n?", "\n").alias("html")))
     return (index.join(bodies, "file", "left")
             .select(F.lit(label).alias("label"), "url", F.col("status").cast("int").alias("status"), "content_type",

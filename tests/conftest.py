@@ -1,10 +1,12 @@
 import sys
+from dataclasses import dataclass
 from datetime import date, timedelta
 from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -34,35 +36,43 @@ def frame(spark, rows, ddl):
     return spark.createDataFrame(table)
 
 
-CHANGE = date(2026, 6, 22)
-FIRST, LAST = date(2026, 4, 1), date(2026, 9, 7)
+TURN = date(2025, 3, 10)
+OPENING, CLOSING = date(2024, 12, 1), date(2025, 6, 30)
 
 
-def days():
-    return [FIRST + timedelta(i) for i in range((LAST - FIRST).days + 1)]
+@dataclass(frozen=True)
+class Plot:
+    """A page of a test site: its group, daily values until the turn and from it on, and when it was changed."""
 
+    group: str
+    early: dict
+    late: dict
+    turned: date | None = None
+    ends: date = CLOSING
 
-def params(*hypotheses, **changes):
+
+def settings(*hypotheses, **changes):
+    """Short windows: pre 2025-02-07 to 03-07, post 2025-03-17 to 04-14 for a change at the turn."""
     from liftlens import Params
-    settings = {"analysis_cutoff": date(2026, 9, 10), "bootstrap_reps": 200, **changes}
-    return Params(hypotheses=tuple(hypotheses), **settings)
+    short = dict(pre_days=28, buffer_days=3, ramp_days=7, post_days=28, min_post_days=20, min_days_per_window=14,
+                 placebo_shift_days=40, bootstrap_reps=150, analysis_cutoff=CLOSING + timedelta(3))
+    return Params(hypotheses=hypotheses, **{**short, **changes})
 
 
-def site(spark, p, groups, changes, values, column, base=None, segment="general", keep=lambda page, day: True):
-    """A study over pages that hold ``values[page] = (before, after)`` of ``column`` around CHANGE."""
+def garden(spark, chosen, plots, changes=(), segment="general"):
+    """The study of a site of ``plots`` (by page id); the daily rows are unfolded by Spark. ``changes`` come on top."""
     from liftlens.plans.study import Study
-    pages = frame(spark, [(page, f"https://x.test/{page}/", group) for page, group in groups.items()],
-                                  "page string, url string, design_group string")
-    interventions = frame(
-        spark, [(f"I{i}", page, kind, day, "") for i, (page, kind, day) in enumerate(changes)],
-        "intervention_id string, page string, type string, date date, description string")
-    rows = []
-    for page, (before, after) in values.items():
-        for day in days():
-            if keep(page, day):
-                row = {"clicks": 50.0, "impressions": 1000.0, "position": 5.0, **(base or {})}
-                row[column] = float(before if day < CHANGE else after)
-                rows.append((day, page, segment, row["clicks"], row["impressions"], row["position"]))
-    gsc = frame(spark, rows, "date date, page string, segment string, clicks double, impressions double, position double")
+    usual = {"clicks": 80.0, "impressions": 2000.0, "position": 4.0}
+    beds = [(page, plot.group, plot.ends, *[{**usual, **values}[c] for values in (plot.early, plot.late) for c in usual])
+            for page, plot in plots.items()]
+    wide = frame(spark, beds, "page string, design_group string, ends date, " + ", ".join(
+        f"{c}_{half} double" for half in ("early", "late") for c in usual))
+    daily = wide.select("*", F.explode(F.sequence(F.lit(OPENING), F.col("ends"))).alias("date")).select(
+        "date", "page", F.lit(segment).alias("segment"),
+        *[F.when(F.col("date") < TURN, F.col(f"{c}_early")).otherwise(F.col(f"{c}_late")).alias(c) for c in usual])
+    log = [(page, plot.group, plot.turned) for page, plot in plots.items() if plot.turned] + list(changes)
+    interventions = frame(spark, [(f"C{n:02d}", *entry, "") for n, entry in enumerate(log)],
+                          "intervention_id string, page string, type string, date date, description string")
+    pages = wide.select("page", F.concat(F.lit("https://garden.example/"), "page").alias("url"), "design_group")
     authority = frame(spark, [], "date date, metric string, source string, value double")
-    return Study(spark, pages, gsc, interventions, authority, p)
+    return Study(spark, pages, daily, interventions, authority, chosen)

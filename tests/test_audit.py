@@ -1,3 +1,4 @@
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
@@ -5,6 +6,7 @@ import pytest
 from conftest import frame
 from pyspark.sql import functions as F
 
+from liftlens import constants as C
 from liftlens.functions import html as H
 from liftlens.functions.urls import normalize_url, page_base, resolve_link
 from liftlens.operators import audit as A
@@ -14,66 +16,92 @@ from liftlens.operators.page_facts import page_facts
 from liftlens.sources import fixtures as X
 
 BASE = "https://shop.test"
-FIRST = """<!DOCTYPE html><html><head><title> Malo </title>
-<script type="application/ld+json">{broken</script>
-<script>document.write("<h1>no</h1><a href='/no/'></a>");</script></head>
-<body><!-- <h1>comment</h1> --><h1>One</h1><H1 class=x>Two</H1><h4>Skip</h4>
-<img src="1.png"><img src="2.png" alt=""><img src='3.png' title="a > b">
-<a href="/two/">next</a><a href="/gone/"> <b> </b> </a><a href="https://else.test/x">out</a><a name="anchor"></a>
-<form><input id="q" type="text"><label>Name <input type="text"></label><input type="hidden" name="t">
-<label for="z">Z</label><select id="z"></select><textarea aria-label="note"></textarea></form></body></html>"""
-SECOND = """<!doctype html><html lang=" sl "><head><title>Malo</title>
-<meta NAME="Description" content="About &amp; more"><meta name="viewport" content="width=device-width">
-<link href="https://shop.test/two/" rel="alternate canonical">
-<script type="application/ld+json">[{"@type": ["Organization", "LocalBusiness"]}, {"@type": "Article"}, 3]</script></head>
-<body><h1>B</h1><h2>Part</h2><a href="/one/#top">A</a><a href="mailto:x@shop.test">mail</a>
-<a href="/img/"><img src="x.png" alt="picture"></a><a href="/lab/" aria-label="named"></a></body></html>"""
+#: A recipe page with many faults: no canonical, robots noindex, headings 2 -> 5, no h1, long title, images, controls of all kinds.
+RECIPE = """<html LANG=""><head><title>Slow bread with walnuts, rye flour, a little honey and three days of patience in the cold</title>
+<meta name=robots content="NOINDEX, follow"><meta content="width=device-width" name=viewport>
+<style>h1:after{content:"<h1>"}</style></head><body>
+<h2>Dough</h2><h5>Water</h5><h3>Salt</h3><!-- <h1>hidden</h1><img> -->
+<figure><img src=crumb.jpg alt><img src=crust.jpg><img alt="Oven" src=oven.jpg></figure>
+<p><a href="../tools/?sort=price#knives">Tools</a> <a href=//shop.test/oven>Oven</a> <a href="tel:123"></a>
+<a href="https://shop.test:443/else">Port</a> <a href="/tools/?sort=price"><img src=t.png alt=" "></a> <a href="/lost">lost</a></p>
+<form><select name=size><option>1</select><input name=q aria-label=Search><textarea id=t></textarea><input type=submit>
+<input type=image><label for=mail>Mail</label><input id=mail type=email><label>Agree <input type=checkbox></label></form>
+<script type="application/ld+json">{"@type": "Recipe", "author": {"@type": "Person"}}</script>
+<script type="application/ld+json">{"@type": </script></body></html>"""
+#: A clean contact page with a list of data; its description is too long.
+CONTACT = """<!doctype html><html lang=en><head><title>Contact &amp; opening hours</title>
+<link rel=canonical href=/contact><meta name=viewport content=x><meta name=description content="%s">
+<script type="application/ld+json">[{"@type": "Place"}, {"@type": ["Shop", "Bakery"]}, {"@type": "[sic"}, "text", 4]</script></head>
+<body><h1>Contact</h1><h2>Hours</h2><h3>Summer</h3><h2>Way</h2><a href="/recipes/bread">Bread</a>
+<a href="/contact" aria-label="Again"></a></body></html>""" % ("We bake. " * 25)
+#: Two bare pages that share title and description.
+BARE = """<html lang=de><head><title>Angebot der Woche</title><meta name=description content=Brot><link rel=canonical href=x>
+<meta name=viewport content=x><script type="application/ld+json">{"@type":"Offer"}</script></head><body><h1>A</h1><h1>B</h1>%s</body></html>"""
 
 
 @pytest.fixture(scope="module")
 def crawl(spark):
-    rows = [("before", f"{BASE}/one/", 200, FIRST, 1), ("before", f"{BASE}/two/", 200, SECOND, 2),
-            ("before", f"{BASE}/gone/", 404, "", 3), ("before", f"{BASE}/empty/", 200, "", 4)]
+    pages = {"/recipes/bread": (200, RECIPE), "/contact": (200, CONTACT), "/a": (200, BARE % "<a href=b>b</a>"), "/b": (200, BARE % ""),
+             "/untitled": (200, "<html lang=fr><body><h1>x</h1></body></html>"), "/lost": (410, ""), "/nothing": (200, "")}
+    rows = [("after", BASE + path, status, html, n) for n, (path, (status, html)) in enumerate(pages.items())]
     return frame(spark, rows, "label string, url string, status int, html string, seq long")
 
 
 @pytest.fixture(scope="module")
 def facts(crawl):
-    return {r.url: r for r in page_facts(crawl).collect()}
+    return {r.url.removeprefix(BASE): r for r in page_facts(crawl).collect()}
 
 
-def test_facts_of_hand_counted_pages(facts):
-    one, two = facts[f"{BASE}/one/"], facts[f"{BASE}/two/"]
-    assert set(facts) == {f"{BASE}/one/", f"{BASE}/two/"}
-    assert (one.title, one.title_length, one.h1_count, one.heading_level_skips) == ("Malo", 4, 2, 1)
-    assert (one.img_count, one.img_missing_alt, one.invalid_structured_data, one.structured_data_types) == (3, 2, 1, "")
-    assert (one.empty_link_text, one.inputs_without_label, one.lang) == (1, 1, "")
-    assert not one.has_canonical and not one.has_viewport and not one.noindex
-    assert one.links == [f"{BASE}/gone/", f"{BASE}/two/"] and one.internal_links == 2
-    assert (two.meta_description, two.lang, two.structured_data_types) == ("About & more", "sl", "Article|LocalBusiness|Organization")
-    assert two.has_canonical and two.has_viewport and two.empty_link_text == 0
-    assert two.links == [f"{BASE}/img/", f"{BASE}/lab/", f"{BASE}/one/"]
+def test_facts_of_the_faulty_page(facts):
+    page = facts["/recipes/bread"]
+    assert set(facts) == {"/recipes/bread", "/contact", "/a", "/b", "/untitled"}
+    assert (page.title_length, page.h1_count, page.heading_level_skips, page.noindex, page.lang) == (89, 0, 1, True, "")
+    assert (page.has_canonical, page.has_viewport, page.meta_description) == (False, True, "")
+    assert (page.img_count, page.img_missing_alt) == (4, 1)
+    assert page.inputs_without_label == 2  # the select and the text area
+    assert page.empty_link_text == 2  # the telephone link and the image with a blank alt
+    assert (page.invalid_structured_data, page.structured_data_types) == (1, "Recipe")
+    assert page.links == [f"{BASE}/lost", f"{BASE}/oven", f"{BASE}/tools/?sort=price"]
 
 
-def test_issues_of_hand_counted_pages(crawl):
-    found = {(r.url.split("/")[3], r.issue) for r in A.site_issues(page_facts(crawl), crawl).collect()}
-    assert found == {
-        ("one", "title_too_short"), ("one", "missing_meta_description"), ("one", "multiple_h1"), ("one", "missing_canonical"),
-        ("one", "missing_viewport"), ("one", "missing_lang"), ("one", "img_missing_alt"), ("one", "heading_level_skip"),
-        ("one", "input_missing_label"), ("one", "empty_link_text"), ("one", "invalid_structured_data"),
-        ("one", "broken_internal_link"), ("one", "duplicate_title"), ("two", "title_too_short"), ("two", "duplicate_title"),
-        ("gone", "http_error")}
+def test_facts_of_the_clean_page(facts):
+    page = facts["/contact"]
+    assert (page.title, page.lang, page.h1_count, page.heading_level_skips) == ("Contact & opening hours", "en", 1, 0)
+    assert (page.structured_data_types, page.invalid_structured_data, page.img_count) == ("Bakery|Place|Shop|[sic", 0, 0)
+    assert page.has_canonical and page.has_viewport and not page.noindex and page.meta_description_length > 160
 
 
-def test_summary_and_page_ids(spark, crawl):
+#: What each page must be told; the duplicates and the lost page come from the site as a whole.
+EXPECTED = {
+    "/recipes/bread": {"title_too_long", "missing_meta_description", "missing_h1", "missing_canonical", "noindex", "missing_lang",
+                       "img_missing_alt", "heading_level_skip", "input_missing_label", "empty_link_text", "invalid_structured_data",
+                       "broken_internal_link"},
+    "/contact": {"meta_description_too_long"},
+    "/a": {"multiple_h1", "duplicate_title", "duplicate_meta_description"},
+    "/b": {"multiple_h1", "duplicate_title", "duplicate_meta_description"},
+    "/untitled": {"missing_title", "missing_meta_description", "missing_canonical", "missing_viewport", "missing_structured_data"},
+    "/lost": {"http_error"},
+}
+
+
+def test_issues_of_the_site(crawl):
+    found = {}
+    for r in A.site_issues(page_facts(crawl), crawl).collect():
+        found.setdefault(r.url.removeprefix(BASE), set()).add(r.issue)
+    assert found == EXPECTED
+
+
+def test_summary_counts_and_page_ids(spark, crawl):
     issues = A.site_issues(page_facts(crawl), crawl)
-    rows = {r.issue: (r.category, r.before, r.after) for r in R.audit_summary(issues).collect()}
-    assert rows["title_too_short"] == ("content", 2, 0) and rows["http_error"] == ("technical", 1, 0)
-    totals = {r.category: (r.before, r.after) for r in R.category_totals(R.audit_summary(issues)).collect()}
-    assert totals == {"technical": (4, 0), "content": (7, 0), "accessibility": (5, 0)}
-    pages = frame(spark, [("P1", f"{BASE}/one/")], "page string, url string")
-    ids = {(r.url.split("/")[3], r.page) for r in A.attach_page(issues, pages).collect()}
-    assert ids == {("one", "P1"), ("two", ""), ("gone", "")}
+    summary = R.audit_summary(issues)
+    count = {r.issue: (r.before, r.after) for r in summary.collect()}
+    codes = [code for page in EXPECTED.values() for code in page]
+    assert count == {code: (0, codes.count(code)) for code in codes}
+    totals = {r.category: r.after for r in R.category_totals(summary).collect()}
+    assert totals == {category: sum(c in names for c in codes) for category, names in C.ISSUES_BY_CATEGORY.items()}
+    listed = frame(spark, [("P7", f"{BASE}/a"), ("P8", f"{BASE}/lost")], "page string, url string")
+    ids = {r.url.removeprefix(BASE): r.page for r in A.attach_page(issues, listed).collect()}
+    assert ids == {path: {"/a": "P7", "/lost": "P8"}.get(path, "") for path in EXPECTED}
 
 
 def test_last_status_of_a_repeated_url_counts(spark):
@@ -140,7 +168,7 @@ class _Tags(HTMLParser):
 
 
 def test_tags_of_all_pages_equal_the_standard_parser(spark, small_dir):
-    extra = [(-1, "u", FIRST), (-2, "u", SECOND), (-3, "u", "<p a=1 b='x>y' c=\"&amp;\" d / ><br/><img alt>"),
+    extra = [(-1, "u", RECIPE), (-2, "u", CONTACT), (-3, "u", "<p a=1 b='x>y' c=\"&amp;\" d / ><br/><img alt>"),
              (-4, "u", "<style>a<b</style><p><!-- <p> --><!x><?y?>1 < 2 <a\nhref = '/x' >t</a >")]
     pages = X.table(spark, small_dir, "pages").unionByName(frame(spark, extra, "page_id long, url string, html string"))
     tags = H.tags_with_attributes(H.start_tags(H.tokens(F.col("html")), r"[a-z][^\s/>]*"))
@@ -152,16 +180,26 @@ def test_tags_of_all_pages_equal_the_standard_parser(spark, small_dir):
         assert [(t.tag.rstrip(">"), [(a.k, a.v) for a in t.attrs]) for t in row.tags] == parser.found, row.page_id
 
 
-def test_reachable_pages_in_breadth_first_order(spark):
-    def page(*hrefs):
-        return "".join(f'<a href="{h}">x</a>' for h in hrefs)
+def test_reachable_pages_by_levels(spark):
+    """A ring of rooms, each with two doors further on and one back, and a corridor at its end."""
+    def doors(*names):
+        return "".join(f"<p><a href='/{n}'>go</a>" for n in names)
 
-    rows = [("before", f"{BASE}/", 200, page("/b/", "/a/", "/missing/", "https://else.test/")),
-            ("before", f"{BASE}/a/", 200, page("/", "/c/")), ("before", f"{BASE}/b/", 200, page("/d/", "/a/")),
-            ("before", f"{BASE}/c/", 500, page("/never/")), ("before", f"{BASE}/d/", 200, page("/c/", "#x"))]
+    rooms = 40
+    plan = {f"room{i}": doors(f"room{(2 * i + 2) % rooms}", f"room{(2 * i + 1) % rooms}", "room0") for i in range(rooms)}
+    plan |= {"room39": doors("hall", "https://else.test/"), "hall": doors("yard", "void"), "yard": "", "cellar": doors("room0")}
+    rows = [("after", f"{BASE}/{name}", 503 if name == "yard" else 200, html) for name, html in plan.items()]
     crawl = frame(spark, rows, "label string, url string, status int, html string")
-    got = [(r.url.removeprefix(BASE), r.status, r.level) for r in
-           L.reachable(L.edges(crawl), crawl, BASE).orderBy("crawl_order").collect()]
-    assert got == [("/", 200, 0), ("/b/", 200, 1), ("/a/", 200, 1), ("/missing/", 404, 1), ("/d/", 200, 2), ("/c/", 500, 2)]
-    top = L.reachable(L.edges(crawl), crawl, BASE, max_pages=3).orderBy("crawl_order").collect()
-    assert [r.url.removeprefix(BASE) for r in top] == ["/", "/b/", "/a/"]
+    order, level = ["room0"], {"room0": 0}
+    for name in order:  # grows while it is read
+        for target in re.findall("href='/([^']*)'", plan.get(name, "")):
+            if target not in level:
+                level[target] = level[name] + 1
+                order.append(target)
+    status = lambda n: 503 if n == "yard" else 200 if n in plan else 404
+    edges = L.edges(crawl)
+    got = [(r.crawl_order, r.url.removeprefix(BASE + "/"), r.level, r.status) for r in
+           L.reachable(edges, crawl, f"{BASE}/room0").orderBy("crawl_order").collect()]
+    assert got == [(i, n, level[n], status(n)) for i, n in enumerate(order)] and max(level.values()) > 5
+    first = L.reachable(edges, crawl, f"{BASE}/room0", max_pages=5).orderBy("crawl_order").collect()
+    assert [r.url.removeprefix(BASE + "/") for r in first] == order[:5]

@@ -1,8 +1,14 @@
+"""Effects, draws, decisions and their parts on small sites whose results follow from plain formulas."""
+
+import itertools
 import math
+from bisect import bisect_right
 from datetime import date
+from statistics import mean
 
+import numpy as np
 import pytest
-from conftest import CHANGE, frame, params, site
+from conftest import TURN, Plot, frame, garden, settings
 from pyspark.sql import functions as F
 
 from liftlens import Hypothesis
@@ -11,129 +17,136 @@ from liftlens.functions.stats import ctr_bin, decide, effect_transform, general_
 from liftlens.operators import evaluation as E
 from liftlens.operators import windows as W
 
-H1 = Hypothesis("H1", "did", "technical", "position", threshold=0.2)
-GROUPS = {"T1": "technical", "T2": "technical", "C1": "control", "C2": "control"}
-TREATED = [("T1", "technical", CHANGE), ("T2", "technical", CHANGE)]
-POSITIONS = {"T1": (10, 7), "T2": (20, 12), "C1": (8, 8.8), "C2": (16, 17.6)}
+K1 = Hypothesis("K1", "did", "content", "position", threshold=0.1)
+RANKS = {"fern": (12, 9), "moss": (30, 24), "reed": (5, 5), "ash": (10, 10.5), "oak": (40, 44), "elm": (6, 6)}
+KINDS = dict.fromkeys(("fern", "moss", "reed"), "content") | dict.fromkeys(("ash", "oak", "elm"), "control")
+
+
+def bed(page, **more):
+    early, late = RANKS[page]
+    return Plot(KINDS[page], {"position": early}, {"position": late}, TURN if KINDS[page] == "content" else None, **more)
+
+
+BEDS = {page: bed(page) for page in RANKS}
+LOGS = {kind: [math.log(late / early) for p, (early, late) in RANKS.items() if KINDS[p] == kind] for kind in ("content", "control")}
+
+
+def gain(treated, control):
+    """Relative gain in position from mean log ratios."""
+    return 1 - math.exp(mean(treated) - mean(control))
 
 
 @pytest.fixture(scope="module")
-def position_study(spark):
-    return site(spark, params(H1), GROUPS, TREATED, POSITIONS, "position")
-
-
-def effects(study):
-    return {(r.hypothesis_id, r.model): r.estimate for r in study.point_effects().collect()}
-
-
-def test_position_effect_matches_hand_calculation(position_study):
-    found = effects(position_study)
-    assert found["H1", "did"] == pytest.approx(1 - math.sqrt(0.7 * 0.6) / 1.1, abs=1e-12)
-    assert found["H1", "naive_prepost"] == pytest.approx(1 - math.sqrt(0.7 * 0.6), abs=1e-12)
-
-
-def test_draws_take_only_the_possible_values(position_study):
-    both = 1 - math.sqrt(0.7 * 0.6) / 1.1
-    possible = {round(x, 10) for x in (1 - 0.7 / 1.1, 1 - 0.6 / 1.1, both)}
-    rows = position_study.draws(["did"]).collect()
-    assert sorted(r.rep for r in rows) == list(range(200))
-    assert {round(r.draw, 10) for r in rows} == possible
-    shares = [sum(abs(r.draw - v) < 1e-9 for r in rows) / 200 for v in (1 - 0.7 / 1.1, 1 - 0.6 / 1.1, both)]
-    assert all(abs(a - e) < 0.12 for a, e in zip(shares, (0.25, 0.25, 0.5)))
-
-
-def test_draws_do_not_depend_on_partitioning(spark, position_study):
-    first = {r.rep: r.draw for r in position_study.draws(["did"]).collect()}
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    try:
-        again = {r.rep: r.draw for r in position_study.draws(["did"]).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert first == pytest.approx(again)
-
-
-def test_evaluation_row(position_study):
-    row = position_study.evaluation().collect()[0]
-    assert (row.n_treated, row.n_control, row.min_window_days, row.status) == (2, 2, 42, "estimated")
-    assert row.ci_low <= row.estimate <= row.ci_high and row.decision == C.SUPPORTED
-    assert row.ci_level_adj == row.ci_level  # one hypothesis, nothing to correct
-
-
-def test_adjusted_click_rate_sees_doubled_clicks_at_fixed_position(spark):
-    h2 = Hypothesis("H2", "did", "technical", "ctr_adjusted", threshold=0.2)
-    values = {"T1": (5000, 10000), "T2": (4000, 8000), "C1": (5000, 5000), "C2": (3000, 3000)}
-    study = site(spark, params(h2), GROUPS, TREATED, values, "clicks", {"impressions": 100000.0})
-    assert effects(study)["H2", "did"] == pytest.approx(1.0, abs=1e-3)
-    assert ("H2", "did_raw_ctr") in effects(study)
-
-
-def test_difference_of_two_arms_on_one_segment(spark):
-    h3 = Hypothesis("H3", "did_difference", "local", "clicks", segment="local", compare_to="content")
-    groups = {"L1": "local", "L2": "local", "K1": "content", "K2": "content", "C1": "control", "C2": "control"}
-    changes = [(p, groups[p], CHANGE) for p in ("L1", "L2", "K1", "K2")]
-    values = {"L1": (4000, 8000), "L2": (2000, 4000), "K1": (4000, 6000), "K2": (2000, 3000), "C1": (3000, 3000), "C2": (1000, 1000)}
-    study = site(spark, params(h3), groups, changes, values, "clicks", {"impressions": 100000.0}, segment="local")
-    assert effects(study)["H3", "did"] == pytest.approx(0.5, abs=1e-3)
-
-
-def test_too_few_days_drop_the_page_from_every_model(spark):
-    study = site(spark, params(H1), GROUPS, TREATED, POSITIONS, "position",
-                 keep=lambda page, day: page != "T2" or day < date(2026, 7, 6))
-    assert {(r.model, r.page) for r in study.predictions.collect()} == {("did", "T1"), ("naive_prepost", "T1")}
-    row = study.evaluation().collect()[0]
-    assert (row.status, row.decision, row.estimate) == ("insufficient_data", C.NO_DATA, None)
-    assert row.note == "treated per arm {'a': 1}, control 2"
-
-
-def test_window_values(spark):
-    rows = frame(
-        spark, [("position", 2, 2, 10.0, 10.0, 100.0, 2.0 * 90 + 10.0 * 10, 9.0), ("clicks", 2, 1, 10.0, 10.0, 100.0, 0.0, 9.0),
-         ("clicks", 0, 0, None, None, None, None, None)],
-        "metric string, rows int, shown_days int, clicks double, shown_clicks double, shown_impressions double, "
-        "position_weight double, expected_clicks double").withColumns(
-        {"start": F.lit(date(2026, 1, 1)), "end": F.lit(date(2026, 1, 3))})
-    got = [(r.n_days, r.value) for r in W.window_values(rows).collect()]
-    assert got[0] == (2, pytest.approx(math.log(2.8)))
-    assert got[1] == (1, pytest.approx(math.log(10.5 / 2)))
-    assert got[2] == (0, None)
-
-
-def test_bins_and_scalar_rules(spark):
-    positions = [1.0, 1.5, 9.99, 10.0, 14.9, 35.0, 0.5]
-    df = frame(spark, [(p,) for p in positions], "p double")
-    assert [r[0] for r in df.select(ctr_bin(F.col("p"))).collect()] == [0, 0, 8, 9, 9, 12, 0]
-    one = spark.range(1)
-    lit = F.lit
-    assert one.select(effect_transform(lit(math.log(0.8)), lit("position"))).first()[0] == pytest.approx(0.2)
-    assert one.select(effect_transform(lit(math.log(1.3)), lit("clicks"))).first()[0] == pytest.approx(0.3)
-    cases = [((0.21, 0.40), C.SUPPORTED), ((-0.10, 0.19), C.REJECTED), ((0.10, 0.30), C.UNDECIDED)]
-    for (low, high), expected in cases:
-        assert one.select(decide(lit(low), lit(high), lit(0.2))).first()[0] == expected
-    assert one.select(percent(lit(0.1234)), percent(lit(None).cast("double"))).first()[:] == ("+12.3 %", "—")
-    for value in (11.0, 12.5, 0.0375, 123456.0, 1.0 / 3):
+def ranked(spark):
+    return garden(spark, settings(K1), BEDS)
+
+
+def estimates(study):
+    return {r.model: r.estimate for r in study.point_effects().collect()}
+
+
+def test_position_effect_is_the_ratio_of_geometric_means(ranked):
+    assert estimates(ranked) == pytest.approx({"did": gain(LOGS["content"], LOGS["control"]), "naive_prepost": gain(LOGS["content"], [0])})
+
+
+def test_draws_follow_the_distribution_of_resampled_pages(ranked):
+    every = [gain(t, c) for t in itertools.product(LOGS["content"], repeat=3) for c in itertools.product(LOGS["control"], repeat=3)]
+    rows = ranked.draws(["did"]).collect()
+    drawn = np.array([r.draw for r in rows])
+    assert sorted(r.rep for r in rows) == list(range(150))
+    assert np.abs(np.subtract.outer(drawn, every)).min(axis=1).max() < 1e-9
+    assert abs(drawn.mean() - mean(every)) < 4 * np.std(every) / math.sqrt(150)
+    assert 0.7 < drawn.std() / np.std(every) < 1.3
+
+
+def test_draws_are_the_same_for_any_layout_of_the_data(spark, ranked):
+    dealt = garden(spark, settings(K1), dict(reversed(BEDS.items())))
+    dealt.gsc = dealt.gsc.repartition(7, "date")
+    assert {r.rep: r.draw for r in dealt.draws(["did"]).collect()} == pytest.approx({r.rep: r.draw for r in ranked.draws(["did"]).collect()})
+
+
+def test_interval_and_decision_come_from_the_draws(ranked):
+    row = next(r for r in ranked.evaluation().collect())
+    low, high = np.percentile([r.draw for r in ranked.draws(["did"]).collect()], [2.5, 97.5])
+    assert (row.ci_low, row.ci_high) == pytest.approx((low, high))
+    assert row.decision == (C.SUPPORTED if low >= 0.1 else C.REJECTED if high < 0.1 else C.UNDECIDED)
+    assert (row.status, row.n_treated, row.n_control, row.min_window_days) == ("estimated", 3, 3, 28)
+
+
+def test_click_rate_effect_at_an_unchanged_position(spark):
+    k2 = Hypothesis("K2", "did", "technical", "ctr_adjusted")
+    many = lambda clicks: {"clicks": clicks, "impressions": 90_000.0}
+    plots = {"ivy": Plot("technical", many(2_000), many(3_000), TURN), "yew": Plot("technical", many(8_000), many(12_000), TURN),
+             "fir": Plot("control", many(6_000), many(6_000)), "box": Plot("control", many(700), many(700))}
+    found = estimates(garden(spark, settings(k2), plots))
+    assert set(found) == {"did", "naive_prepost", "did_raw_ctr"} and all(v == pytest.approx(0.5, abs=1e-3) for v in found.values())
+
+
+def test_one_arm_is_compared_with_another(spark):
+    k3 = Hypothesis("K3", "did_difference", "accessibility", "clicks", segment="local", compare_to="technical")
+    clicks = {"ivy": ("accessibility", 1.3), "yew": ("accessibility", 1.3), "bay": ("technical", 1.1), "fig": ("technical", 1.1),
+              "fir": ("control", 1.0), "box": ("control", 1.0)}
+    plots = {p: Plot(g, {"clicks": 9_000.0}, {"clicks": 9_000.0 * k}, None if g == "control" else TURN) for p, (g, k) in clicks.items()}
+    assert estimates(garden(spark, settings(k3), plots, segment="local"))["did"] == pytest.approx(0.2, abs=1e-3)
+
+
+@pytest.mark.parametrize("short, status", [(["moss"], "estimated"), (["moss", "reed"], "insufficient_data")])
+def test_pages_without_enough_days_are_left_out(spark, short, status):
+    cut = {p: bed(p, ends=date(2025, 3, 24)) if p in short else bed(p) for p in RANKS}
+    study = garden(spark, settings(K1), cut)
+    assert {r.page for r in study.predictions.collect()} == {"fern", "moss", "reed"} - set(short)
+    row = study.evaluation().first()
+    assert (row.status, row.estimate is None) == (status, status != "estimated")
+    if row.estimate is None:
+        assert row.decision == C.NO_DATA and row.note == "treated per arm {'a': 1}, control 3"
+
+
+def test_values_of_window_sums(spark):
+    sums = frame(spark, [("position", 5, 4, 70.0, 70.0, 400.0, 1234.0, 20.0), ("clicks", 9, 6, 7.0, 7.0, 50.0, 60.0, 2.0),
+                         ("ctr_adjusted", 3, 3, 12.0, 11.0, 80.0, 90.0, 4.5), ("ctr_adjusted", 3, 0, 12.0, None, None, None, None)],
+                 "metric string, rows int, shown_days int, clicks double, shown_clicks double, shown_impressions double, "
+                 "position_weight double, expected_clicks double")
+    ten = sums.withColumns({"start": F.lit(date(2025, 4, 1)), "end": F.lit(date(2025, 4, 11))})
+    got = [(r.n_days, r.value) for r in W.window_values(ten).collect()]
+    assert got == [(4, pytest.approx(math.log(3.085))), (6, pytest.approx(math.log(0.75))), (3, pytest.approx(math.log(2.3))), (0, None)]
+
+
+def test_scalar_rules(spark):
+    places = [0.2, 1.0, 2.99, 7.0, 12.34, 19.999, 20.0, 29.5, 30.0, 412.0]
+    bins = [r[0] for r in frame(spark, [(x,) for x in places], "x double").select(ctr_bin(F.col("x"))).collect()]
+    assert bins == [max(bisect_right(C.CTR_EDGES, x) - 1, 0) for x in places]
+    lit, one = F.lit, spark.range(1)
+    assert one.select(effect_transform(lit(math.log(0.64)), lit("position")), effect_transform(lit(math.log(2.5)), lit("ctr_adjusted"))
+                      ).first()[:] == pytest.approx((0.36, 1.5))
+    for low, high, verdict in ((0.5, 0.6, C.SUPPORTED), (0.3, 0.3, C.SUPPORTED), (0.1, 0.3, C.UNDECIDED), (-1.0, 0.29, C.REJECTED)):
+        assert one.select(decide(lit(low), lit(high), lit(0.3))).first()[0] == verdict
+    assert one.select(percent(lit(-0.0456)), percent(lit(2.0)), percent(lit(None).cast("double"))).first()[:] == ("-4.6 %", "+200.0 %", "—")
+    for value in (8.0, 0.00125, 98765.4, 2 / 7, 650000.0):
         assert one.select(general_number(lit(value))).first()[0] == f"{value:g}"
 
 
-def test_curve_fills_gaps_and_ignores_later_rows(spark):
-    rows = [(date(2026, 5, 1), "A", 10, 100, 3.5), (date(2026, 5, 2), "A", 30, 100, 8.2), (date(2026, 5, 3), "A", 9, 10, None),
-            (date(2026, 6, 20), "A", 100, 100, 3.5)]
-    panel = frame(spark, rows[:2] + rows[3:], "date date, page string, clicks long, impressions long, position double")
-    end = frame(spark, [(date(2026, 6, 15),)], "train_end date")
-    curve = [r.ctr for r in W.fit_ctr_curve(panel, end, params(H1)).orderBy("bin").collect()]
-    assert curve == [0.1] * 7 + [0.3] * 6
-    empty = W.fit_ctr_curve(panel.limit(0), end, params(H1)).collect()
-    assert len(empty) == 13 and all(r.ctr == 0 for r in empty)
-
-
-def test_trend_takes_the_last_value_on_or_before_each_date(spark):
-    h5 = Hypothesis("H5", "descriptive", "links", "domain_authority", threshold=10, horizon_days=183)
-    p = params(h5)
-    study = site(spark, p, GROUPS, [("*", "links", date(2026, 3, 1))], POSITIONS, "position")
-    points = [("2026-02-01", 11.0), ("2026-03-01", 12.0), ("2026-08-15", 15.0), ("2026-09-05", 40.0), ("2026-09-09", 99.0)]
-    authority = frame(spark, [(d, "domain_authority", "s", v) for d, v in points],
-                                      "date string, metric string, source string, value double").withColumn("date", F.to_date("date"))
-    row = E.trend_asof(authority, study.interventions, study.hyp, p).collect()[0]
-    assert (row.estimate, row.decision) == (3.0, C.TREND_NOT_REACHED)  # the horizon ends 2026-08-31
-    assert row.note == "baseline 2026-03-01=12; last 2026-08-15=15; horizon ends 2026-08-31; complete=True"
-    none = E.trend_asof(authority.where("value > 12"), study.interventions, study.hyp, p).collect()[0]
-    assert (none.status, none.estimate) == ("insufficient_data", None)
+def test_curve_pools_bins_borrows_for_empty_ones_and_stops_in_time(spark):
+    rows = [(date(2025, 1, 5), "fern", 20, 400, 6.1), (date(2025, 1, 6), "moss", 40, 400, 6.9), (date(2025, 1, 6), "reed", 1, 100, 17.0),
+            (date(2025, 3, 1), "fern", 99, 100, 6.5)]
+    panel = frame(spark, rows, "date date, page string, clicks long, impressions long, position double")
+    stop = frame(spark, [(date(2025, 2, 1),)], "train_end date")
+    curve = {r.bin: r.ctr for r in W.fit_ctr_curve(panel, stop, settings(K1)).collect()}
+    assert curve[5] == pytest.approx(0.075) and curve[10] == pytest.approx(0.01) and len(curve) == len(C.CTR_EDGES)
+    assert set(curve.values()) == {curve[5], curve[10]}
+    assert {r.ctr for r in W.fit_ctr_curve(panel.where("page = 'nobody'"), stop, settings(K1)).collect()} == {0.0}
+
+
+def test_trend_reads_the_latest_value_known_at_each_date(spark):
+    k5 = Hypothesis("K5", "descriptive", "links", "domain_authority", threshold=6, horizon_days=60)
+    study = garden(spark, settings(k5), BEDS, [("*", "links", date(2025, 2, 1)), ("*", "links", date(2025, 3, 1))])
+    points = [(date(2025, 1, 20), 20.0), (date(2025, 2, 3), 21.0), (date(2025, 3, 30), 27.0), (date(2025, 4, 9), 50.0)]
+    known = frame(spark, [(d, "domain_authority", "tool", v) for d, v in points], "date date, metric string, source string, value double")
+
+    def trend(authority, **changes):
+        return E.trend_asof(authority, study.interventions, study.hyp, settings(k5, **changes)).first()
+
+    assert (trend(known).estimate, trend(known).decision) == (7.0, C.TREND_REACHED)
+    early = trend(known, analysis_cutoff=date(2025, 3, 15))
+    assert (early.estimate, early.decision) == (1.0, C.TREND_RUNNING)
+    assert trend(known.where("value < 25")).decision == C.TREND_NOT_REACHED
+    assert trend(known.where("value > 20")).status == "insufficient_data"

@@ -1,7 +1,7 @@
 from datetime import date
 
-from conftest import frame, params
-from test_estimates import H1
+from conftest import frame, settings
+from test_estimates import K1
 
 from liftlens.operators.panel import page_day
 from liftlens.streaming.panel import final_page_day
@@ -18,7 +18,7 @@ def test_days_are_emitted_once_when_final(spark, tmp_path):
     stream = spark.readStream.schema(DDL).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
 
     def run():
-        (final_page_day(stream, params(H1)).writeStream.outputMode("append").format("parquet")
+        (final_page_day(stream, settings(K1, analysis_cutoff=date(2026, 9, 10))).writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True)
          .start(str(tmp_path / "out")).awaitTermination())
         return {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} if (tmp_path / "out").exists() else set()
