@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from liftlens import constants as C
-from liftlens.sources.fixtures import STUDY
+from liftlens.sources.fixtures import BODY_PARTS, HEAD_PARTS, LONG_TITLE, STUDY
 
 P = STUDY
 _TAIL, _TAIL_ADJ = (1 - P.ci_level) / 2, (1 - P.ci_level_adj) / 2
@@ -340,6 +340,18 @@ def _normal(url: str) -> str:
 
 
 _CLEAN = r"""regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"""
+def _parts(parts: dict) -> str:
+    return " || ".join(f"CASE WHEN page_id % {m} = {r} THEN {_text(text)} ELSE '' END" for (m, r), text in parts.items())
+
+
+CTES["shaped"] = f"""
+SELECT page_id, url, replace(replace(html, '</head>', {_parts(HEAD_PARTS)} || '</head>'), '<body>', '<body>' || {_parts(BODY_PARTS)}) AS html
+FROM (SELECT page_id, url, CASE WHEN page_id % 13 IN (5, 6)
+                                THEN regexp_replace(html, '(?s)<title>.*?</title>', CASE WHEN page_id % 13 = 6 THEN {_text(LONG_TITLE)} ELSE '' END)
+                                ELSE html END AS html
+      FROM (SELECT page_id, url, CASE WHEN page_id % 13 = 4 THEN replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>') ELSE html END AS html
+            FROM (SELECT page_id, url, CASE WHEN page_id % 11 = 5 THEN regexp_replace(html, '<html lang="[^"]*">', '<html>') ELSE html END AS html
+                  FROM pages)))"""
 CTES["crawl_pages"] = """
 SELECT label, url, page_id, CASE WHEN page_id % 23 = 0 THEN 404 ELSE 200 END AS status,
        CASE WHEN page_id % 23 = 0 THEN ''
@@ -349,7 +361,7 @@ SELECT label, url, page_id, CASE WHEN page_id % 23 = 0 THEN 404 ELSE 200 END AS
                       THEN '<meta name="viewport" content="w"><link rel="canonical" href="' || url || '">' ELSE '' END
               || CASE WHEN page_id % 5 IN (1, 2)
                       THEN '<meta name="description" content="Page ' || page_id % 40 || '">' ELSE '' END) END AS html
-FROM pages, (VALUES ('before'), ('after')) s(label)"""
+FROM shaped, (VALUES ('before'), ('after')) s(label)"""
 CTES["parsed"] = f"""
 SELECT label, page_id, {_normal("url")} AS url, lower(regexp_extract(url, '{_URL}', 1)) || '://' || lower(regexp_extract(url, '{_URL}', 2)) AS origin,
        html, {_CLEAN} AS clean
@@ -379,17 +391,22 @@ SELECT p.label, p.url, title, CAST(length(title) AS INTEGER) AS title_length, de
        trim(regexp_extract(clean, '(?i)<html [^>]*lang="([^"]*)"', 1)) AS lang,
        CAST(len(regexp_extract_all(clean, '(?i)<img[\s/>]')) AS INTEGER) AS img_count,
        CAST(len(list_filter(regexp_extract_all(clean, '(?i)<img[\s/>][^>]*>'), lambda t: NOT contains(t, 'alt='))) AS INTEGER) AS img_missing_alt,
-       CASE WHEN NOT contains(html, 'application/ld+json') THEN '' END AS structured_data_types,
-       CASE WHEN NOT contains(html, 'application/ld+json') THEN 0 END AS invalid_structured_data,
+       array_to_string(list_sort(flatten(list_transform(
+         flatten(list_transform(list_filter(bodies, lambda b: json_valid(b)),
+                                lambda b: CASE WHEN json_type(b) = 'ARRAY' THEN json_extract(b, '$[*]') ELSE [CAST(b AS JSON)] END)),
+         lambda o: CASE json_type(o, '$."@type"') WHEN 'ARRAY' THEN from_json(json_extract(o, '$."@type"'), '["VARCHAR"]')
+                   WHEN 'VARCHAR' THEN [json_extract_string(o, '$."@type"')] ELSE CAST([] AS VARCHAR[]) END))), '|') AS structured_data_types,
+       CAST(len(list_filter(bodies, lambda b: NOT json_valid(b))) AS INTEGER) AS invalid_structured_data,
        CAST(coalesce(n, 0) AS INTEGER) AS internal_links,
        CAST(len(list_filter(regexp_extract_all(clean, '(?is)<a [^>]*href=[^>]*>(.*?)</a>', 1),
                             lambda t: trim(regexp_replace(t, '<[^>]*>', '', 'g')) = '')) AS INTEGER) AS empty_link_text,
-       CAST(len(list_filter(regexp_extract_all(clean, '(?i)<(?:input|select|textarea)[\s/>][^>]*'),
-                            lambda t: NOT contains(t, 'aria-label'))) AS INTEGER) AS inputs_without_label
+       CAST(len(list_filter(regexp_extract_all(regexp_replace(clean, '(?is)<label[^>]*>.*?</label>', '', 'g'), '(?i)<(?:input|select|textarea)[\s/>][^>]*'),
+                            lambda t: NOT contains(t, 'aria-label') AND NOT contains(t, 'type="hidden"'))) AS INTEGER) AS inputs_without_label
 FROM (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(clean, '(?is)<title[^>]*>(.*?)</title>', 1),
                '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title,
              trim(regexp_extract(clean, '(?i)<meta name="description" content="([^"]*)"', 1)) AS description,
-             list_transform(regexp_extract_all(clean, '(?i)<h([1-6])[\s/>]', 1), lambda x: CAST(x AS INTEGER)) AS levels
+             list_transform(regexp_extract_all(clean, '(?i)<h([1-6])[\s/>]', 1), lambda x: CAST(x AS INTEGER)) AS levels,
+             regexp_extract_all(html, '(?s)<script type="application/ld.json">(.*?)</script>', 1) AS bodies
       FROM parsed) p
 LEFT JOIN (SELECT label, page_id, count(DISTINCT dst) AS n FROM edges GROUP BY ALL) USING (label, page_id)"""
 _RULES = [

@@ -43,15 +43,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class DriverStudy(Study):
     """The study over the driver's events. The daily panel and the list of users are stored once, as
-    the raw tables of a snapshot would be, and only when a query reads them."""
+    the raw tables of a snapshot would be; ``store`` is off for queries with a single reader of them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.p, self.run_id = spark, X.STUDY, RUN_ID
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
+        self.spark, self.p, self.run_id, self.store = spark, X.STUDY, RUN_ID, store
         self.events = _events(spark, sf_dir)
 
     @cached_property
     def users(self) -> DataFrame:
-        return materialize(X.users(self.events), "users")
+        return materialize(X.users(self.events), "users") if self.store else X.users(self.events)
 
     @cached_property
     def pages(self) -> DataFrame:
@@ -59,7 +59,8 @@ class DriverStudy(Study):
 
     @cached_property
     def gsc(self) -> DataFrame:
-        return materialize(X.gsc_daily(self.events, self.users), "gsc_daily")
+        panel = X.gsc_daily(self.events, self.users)
+        return materialize(panel, "gsc_daily") if self.store else panel
 
     @cached_property
     def interventions(self) -> DataFrame:
@@ -74,17 +75,17 @@ class DriverStudy(Study):
         return X.lighthouse(self.users)
 
 
-def study(spark: SparkSession, sf_dir: str) -> DriverStudy:
-    return DriverStudy(spark, sf_dir)
+def study(spark: SparkSession, sf_dir: str, store: bool = True) -> DriverStudy:
+    return DriverStudy(spark, sf_dir, store)
 
 
 def site(spark: SparkSession, sf_dir: str) -> SiteAudit:
     return SiteAudit(X.crawl(X.table(spark, sf_dir, "pages")))
 
 
-def _of_study(build: Callable[[Study], DataFrame], columns: Sequence[str] = ()) -> Query:
+def _of_study(build: Callable[[Study], DataFrame], columns: Sequence[str] = (), store: bool = True) -> Query:
     def run(spark, sf_dir):
-        out = build(study(spark, sf_dir))
+        out = build(study(spark, sf_dir, store))
         return rounded(out.select(*columns) if columns else out)
     return run
 
@@ -191,14 +192,14 @@ def _hypothesis_table(s: Study) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "panel_segment_day": _of_study(lambda s: s.segment_day),
-    "panel_page_day": _of_study(lambda s: s.page_day),
-    "data_period": _of_study(lambda s: P.data_period(s.segment_day)),
+    "panel_segment_day": _of_study(lambda s: s.segment_day, store=False),
+    "panel_page_day": _of_study(lambda s: s.page_day, store=False),
+    "data_period": _of_study(lambda s: P.data_period(s.segment_day), store=False),
     "segment_view": _of_study(lambda s: P.segment_view(P.final_only(s.segment_day, s.p),
-                                                       [C.ALL_SEGMENTS, *C.SEGMENTS])),
+                                                       [C.ALL_SEGMENTS, *C.SEGMENTS]), store=False),
     "query_segments": query_segments,
-    "treatment_dates": _of_study(lambda s: D.treatment_dates(s.interventions)),
-    "ctr_training_end": _of_study(lambda s: D.ctr_training_end(s.interventions, s.p)),
+    "treatment_dates": _of_study(lambda s: D.treatment_dates(s.interventions), store=False),
+    "ctr_training_end": _of_study(lambda s: D.ctr_training_end(s.interventions, s.p), store=False),
     "window_design": _of_study(lambda s: s.design(), D.DESIGN_COLUMNS),
     "placebo_design": _of_study(lambda s: s.design(s.p.placebo_shift_days), D.DESIGN_COLUMNS),
     "ctr_curve": _of_study(lambda s: s.curve),
@@ -220,7 +221,7 @@ QUERIES: dict[str, Query] = {
     "hypothesis_table": _of_study(_hypothesis_table),
     "page_facts": _of_crawl(lambda c: page_facts(c).select(FACT_COLUMNS)),
     "page_issues": lambda spark, sf_dir: site(spark, sf_dir).issues(),
-    "duplicate_titles": _of_crawl(lambda c: A.duplicates(page_facts(c), "title", "duplicate_title")),
+    "duplicate_titles": lambda spark, sf_dir: A.duplicates(site(spark, sf_dir).facts, "title", "duplicate_title"),
     "broken_links": _of_crawl(lambda c: A.broken_links(page_facts(c), c)),
     "pages_with_issues": pages_with_issues,
     "audit_summary": lambda spark, sf_dir: site(spark, sf_dir).summary,

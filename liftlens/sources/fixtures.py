@@ -112,9 +112,44 @@ def lighthouse(users: DataFrame) -> DataFrame:
         (drawn("cls", 300) / 1000).alias("cls"), drawn("inp_ms", 400).alias("inp_ms"))
 
 
+# Markup added to stored pages by page number, so that every audit rule meets pages that break it and pages
+# that keep it: {(modulus, remainder): text}, before the end of the head and after the start of the body.
+HEAD_PARTS = {
+    (7, 3): '<meta name="robots" content="noindex">',
+    (7, 4): '<script type="application/ld+json">[{"@type":"Article"},{"@type":["Shop","Place"]},3]</script>',
+    (7, 5): '<script type="application/ld+json">{"@type":</script>',
+    (7, 6): '<script type="application/ld+json">{"@type":"Offer"}</script>',
+    (13, 7): '<meta name="description" content="' + "many words " * 16 + '">',
+}
+BODY_PARTS = {
+    (6, 1): '<img src="a.png"><img src="b.png" alt="">',
+    (6, 2): "<h1>Once more</h1>",
+    (6, 3): "<h2>Part</h2><h4>Detail</h4>",
+    (6, 4): '<a href="/silent"> </a>',
+    (6, 5): '<form><input type="text" name="a"><label>Name <input type="text"></label><input type="hidden" name="b">'
+            '<select aria-label="size"></select></form>',
+}
+LONG_TITLE = "<title>A title that goes on and on until nobody can read all of it in a list of results</title>"
+
+
+def shaped(key: F.Column, html: F.Column) -> F.Column:
+    """The html of a stored page with its markup parts; some pages lose their language, first heading or title."""
+    def part(parts):
+        return F.concat(*[F.when(key % m == r, text).otherwise("") for (m, r), text in parts.items()])
+
+    html = F.when(key % 11 == 5, F.regexp_replace(html, '<html lang="[^"]*">', "<html>")).otherwise(html)
+    html = F.when(key % 13 == 4, F.regexp_replace(html, "<(/?)h1>", "<$1h2>")).otherwise(html)
+    html = F.when((key % 13).isin(5, 6), F.regexp_replace(html, "(?s)<title>.*?</title>",
+                                                          F.when(key % 13 == 6, LONG_TITLE).otherwise(""))).otherwise(html)
+    html = F.concat(F.substring_index(html, "</head>", 1), part(HEAD_PARTS), F.lit("</head>"),
+                    F.substring_index(html, "</head>", -1))
+    return F.concat(F.substring_index(html, "<body>", 1), F.lit("<body>"), part(BODY_PARTS), F.substring_index(html, "<body>", -1))
+
+
 def crawl(raw_pages: DataFrame) -> DataFrame:
     """Before and after crawls of the stored pages, plus the statuses of the linked targets."""
     key = F.col("page_id")
+    raw_pages = raw_pages.select("page_id", "url", shaped(key, F.col("html")).alias("html"))
     gone = key % 23 == 0
     head = F.concat(
         F.lit("<head>"),
