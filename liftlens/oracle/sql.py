@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from liftlens import constants as C
-from liftlens.sources.fixtures import BODY_PARTS, HEAD_PARTS, LONG_TITLE, STUDY
+from liftlens.sources.fixtures import BODY_PARTS, HEAD_PARTS, LONG_TITLE, SHORT_TITLE, STUDY
 
 P = STUDY
 _TAIL, _TAIL_ADJ = (1 - P.ci_level) / 2, (1 - P.ci_level_adj) / 2
@@ -346,8 +346,8 @@ def _parts(parts: dict) -> str:
 
 CTES["shaped"] = f"""
 SELECT page_id, url, replace(replace(html, '</head>', {_parts(HEAD_PARTS)} || '</head>'), '<body>', '<body>' || {_parts(BODY_PARTS)}) AS html
-FROM (SELECT page_id, url, CASE WHEN page_id % 13 IN (5, 6)
-                                THEN regexp_replace(html, '(?s)<title>.*?</title>', CASE WHEN page_id % 13 = 6 THEN {_text(LONG_TITLE)} ELSE '' END)
+FROM (SELECT page_id, url, CASE WHEN page_id % 13 IN (5, 6, 8)
+                                THEN regexp_replace(html, '(?s)<title>.*?</title>', CASE page_id % 13 WHEN 6 THEN {_text(LONG_TITLE)} WHEN 8 THEN {_text(SHORT_TITLE)} ELSE '' END)
                                 ELSE html END AS html
       FROM (SELECT page_id, url, CASE WHEN page_id % 13 = 4 THEN replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>') ELSE html END AS html
             FROM (SELECT page_id, url, CASE WHEN page_id % 11 = 5 THEN regexp_replace(html, '<html lang="[^"]*">', '<html>') ELSE html END AS html

@@ -129,6 +129,7 @@ BODY_PARTS = {
     (6, 5): '<form><input type="text" name="a"><label>Name <input type="text"></label><input type="hidden" name="b">'
             '<select aria-label="size"></select></form>',
 }
+SHORT_TITLE = "<title>Short</title>"
 LONG_TITLE = "<title>A title that goes on and on until nobody can read all of it in a list of results</title>"
 
 
@@ -139,8 +140,8 @@ def shaped(key: F.Column, html: F.Column) -> F.Column:
 
     html = F.when(key % 11 == 5, F.regexp_replace(html, '<html lang="[^"]*">', "<html>")).otherwise(html)
     html = F.when(key % 13 == 4, F.regexp_replace(html, "<(/?)h1>", "<$1h2>")).otherwise(html)
-    html = F.when((key % 13).isin(5, 6), F.regexp_replace(html, "(?s)<title>.*?</title>",
-                                                          F.when(key % 13 == 6, LONG_TITLE).otherwise(""))).otherwise(html)
+    html = F.when((key % 13).isin(5, 6, 8), F.regexp_replace(html, "(?s)<title>.*?</title>",
+                                                          F.when(key % 13 == 6, LONG_TITLE).when(key % 13 == 8, SHORT_TITLE).otherwise(""))).otherwise(html)
     html = F.concat(F.substring_index(html, "</head>", 1), part(HEAD_PARTS), F.lit("</head>"),
                     F.substring_index(html, "</head>", -1))
     return F.concat(F.substring_index(html, "<body>", 1), F.lit("<body>"), part(BODY_PARTS), F.substring_index(html, "<body>", -1))
