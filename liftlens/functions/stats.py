@@ -17,9 +17,9 @@ def ctr_bin(position: Column) -> Column:
     return F.greatest(F.lit(0), reached - 1)
 
 
-def effect_transform(mean_log_diff: Column, metric: Column) -> Column:
-    """Relative change; for position a positive value means a better, lower position."""
-    change = F.expm1(mean_log_diff)
+def effect_transform(log_ratio: Column, metric: Column) -> Column:
+    """Share by which a metric went up, or by which the position number went down."""
+    change = F.expm1(log_ratio)
     return F.when(metric == "position", -change).otherwise(change)
 
 

@@ -93,16 +93,18 @@ def _records(table: DataFrame, *order: str) -> Column:
     return table.agg(F.transform(entries, lambda e: e["row"]).alias("records")).select("records").scalar()
 
 
-def series_records(series: DataFrame) -> DataFrame:
-    """One record per hypothesis series, with its values in week order."""
+def series_records(series: DataFrame, hyp: DataFrame, p: Params) -> DataFrame:
+    """One record per hypothesis series: what it measures, and its values in week order."""
     points = F.array_sort(F.collect_list(F.struct("week", "value")))
-    return (series.groupBy("hypothesis_id", "name", "role").agg(points.alias("points"))
-            .select("hypothesis_id", "name", "role", F.transform("points", lambda x: x["week"]).alias("weeks"),
-                    F.transform("points", lambda x: x["value"]).alias("values")))
+    grouped = series.groupBy("hypothesis_id", "name", "role").agg(points.alias("points"))
+    return grouped.join(F.broadcast(hyp.select("hypothesis_id", "metric")), "hypothesis_id").select(
+        "hypothesis_id", "name", "role", "metric", constant_map(C.METRIC_LABELS)[F.col("metric")].alias("metric_label"),
+        (F.col("metric") == "position").alias("lower_is_better"), F.lit(-(-p.ramp_days // 7)).alias("ramp_weeks"),
+        F.transform("points", lambda x: x["week"]).alias("weeks"), F.transform("points", lambda x: x["value"]).alias("values"))
 
 
 def result_export(metrics: DataFrame, series: DataFrame, ablation: DataFrame, placebo: DataFrame, summary: DataFrame,
-                  lighthouse: DataFrame, authority: DataFrame, curve: DataFrame, period: DataFrame, hyp: DataFrame,
+                  lighthouse: DataFrame, authority: DataFrame, curve: DataFrame, train_end: DataFrame, period: DataFrame, hyp: DataFrame,
                   p: Params, run_id: str, data_sha256: str | None = None,
                   truth: dict[str, float] | None = None) -> DataFrame:
     """One row with the result document as JSON; missing numbers are null.
@@ -119,12 +121,14 @@ def result_export(metrics: DataFrame, series: DataFrame, ablation: DataFrame, pl
         F.lit(p.analysis_cutoff).alias("analysis_cutoff"), F.lit(p.available_until).alias("available_until"),
         F.lit(data_sha256).cast("string").alias("data_sha256"), F.lit(p.bootstrap_reps).alias("bootstrap_reps"),
         _records(hypothesis_table(metrics, hyp), "hypothesis_id").alias("hypotheses"),
-        _records(series_records(series), "hypothesis_id", "role", "name").alias("series"),
+        _records(series_records(series, hyp, p), "hypothesis_id", "role", "name").alias("series"),
         _records(ablation.withColumn("model_label", model_label), "hypothesis_id", "model").alias("ablation"),
         _records(placebo, "hypothesis_id").alias("placebo"),
         _records(summary, "category", "issue").alias("audit"),
         _records(lighthouse, "design_group", "snapshot").alias("lighthouse"),
         _records(authority, "date", "metric", "source").alias("authority"),
         _records(curve, "bin").alias("ctr_curve"),
+        F.struct(F.lit(C.CTR_MODEL).alias("model_version"), train_end.select("train_end").scalar().alias("train_end_exclusive"),
+                 F.lit(p.available_until).alias("available_until")).alias("ctr_model"),
         F.from_json(F.lit(json.dumps(truth)), "map<string,double>").alias("truth"))
     return spark.range(1).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

@@ -80,7 +80,7 @@ class Params:
 
     @property
     def available_until(self) -> date:
-        """Last date whose search values are final at the cutoff."""
+        """Search values arrive late: those up to this day no longer change after the cutoff."""
         return self.analysis_cutoff - timedelta(days=self.gsc_lag_days)
 
     @property

@@ -155,7 +155,7 @@ class Results:
     def export(self, placebo: DataFrame) -> DataFrame:
         s = self.study
         return R.result_export(self.metrics, s.series(), self.ablation, placebo, self.summary, self.lighthouse,
-                               s.authority, s.curve, P.data_period(s.segment_day), s.hyp, s.p, RUN_ID)
+                               s.authority, s.curve, D.ctr_training_end(s.interventions, s.p), P.data_period(s.segment_day), s.hyp, s.p, RUN_ID)
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand at most ``rows`` rows at a time to Python functions, for tables of long texts.
+
+    A batch is held several times over, by the JVM's Arrow buffers and by Python. The setting stays for the session.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` has written; call it when no result that reads them is needed any more."""
     jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0

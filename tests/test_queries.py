@@ -32,6 +32,8 @@ def test_document_holds_every_part(spark, small_dir):
     assert [h["hypothesis_id"] for h in document["hypotheses"]] == ["H1", "H2", "H3", "H4", "H5"]
     assert len(document["ctr_curve"]) == 13 and len(document["ablation"]) == 9 and len(document["placebo"]) == 4
     assert document["data_period"] == {"start": "2024-01-01", "end": "2024-01-30"}
+    assert document["ctr_model"] == {"model_version": "ctr-bins-v1", "train_end_exclusive": "2024-01-17", "available_until": "2024-01-27"}
     series = document["series"][0]
+    assert (series["metric"], series["lower_is_better"], series["ramp_weeks"]) == ("position", True, 1) and series["metric_label"]
     assert len(series["weeks"]) == len(series["values"])
     assert document["hypotheses"][4]["ci_low"] is None
