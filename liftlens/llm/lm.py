@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftlens.llm import sketch, words
-from liftlens.session import materialize
+from liftlens.session import materialize, small_batches
 
 SEED, PAIR_MULTIPLIER = 9, 0x9FB21C651E98DF25
 #: Marks of a text's end (a token) and beginning (context of its first token).
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BASE, PROBES, MU, ADD = 1.5, 3, 8.0, 0.1
-BITS_A_WORD, MIN_BITS, MAX_BITS = 10, 1 << 20, 1 << 30
+BITS_A_WORD, MIN_BITS, MAX_BITS = 10, 1 << 20, 1 << 29
 WORDS_A_BLOCK, MIN_BLOCKS = 400_000, 64
+#: N-grams that a task holds before it counts them and sends the counts off.
+HELD = 2_000_000
 #: The most frequent words, at most so many, are looked up in a broadcast table; the others by a join.
 HEAD = 1 << 20
 BYTES_A_WORD = 6
@@ -94,13 +96,20 @@ def word_keys(token: np.ndarray) -> np.ndarray:
 def word_counts(texts: DataFrame) -> DataFrame:
     """Exact counts (``word`` hash, ``n``) of all tokens of ``texts``, a table of one text column."""
 
+    def sent_off(parts: list[np.ndarray]) -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = words.Hasher(SEED, True)
-        for batch in batches:
-            parts = [tokens(c)[0] for c in words.chunks(batch.column(0), hasher)]
-            if parts:
-                word, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+        hasher, parts, held = words.Hasher(SEED, True), [], 0
+        for chunk in (c for batch in batches for c in words.chunks(batch.column(0), hasher)):
+            parts.append(tokens(chunk)[0])
+            held += len(parts[-1])
+            if held >= HELD:
+                yield sent_off(parts)
+                parts, held = [], 0
+        if parts:
+            yield sent_off(parts)
 
     return materialize(texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm_words")
 
@@ -109,27 +118,31 @@ def build_filter(texts: DataFrame, n_words: int) -> Filter:
     """Filter of the word and pair counts of ``texts``, a table of one text column."""
     out = Filter(n_words)
 
+    def sent_off(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(parts), return_counts=True)
+        times = (n + 254) // 255
+        key, last = np.repeat(key, times), np.cumsum(times) - 1
+        small = np.full(len(key), 255, np.uint8)
+        small[last] = n - 255 * (times - 1)
+        block, rest = out.split(key)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        five = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[cuts[:-1]], pa.int64()),
+             pa.array([five[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+             pa.array([small[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["block", "keys", "counts"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = words.Hasher(SEED, True)
-        for batch in batches:
-            parts = []
-            for chunk in words.chunks(batch.column(0), hasher):
-                token, before, _ = tokens(chunk)
-                parts += [pair_keys(before, token), word_keys(token), word_keys(before[before == START])]
-            if not parts:
-                continue
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
-            times = (n + 254) // 255
-            key, last = np.repeat(key, times), np.cumsum(times) - 1
-            small = np.full(len(key), 255, np.uint8)
-            small[last] = n - 255 * (times - 1)
-            block, rest = out.split(key)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            five = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block[cuts[:-1]], pa.int64()),
-                 pa.array([five[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                 pa.array([small[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["block", "keys", "counts"])
+        hasher, parts, held = words.Hasher(SEED, True), [], 0
+        for chunk in (c for batch in batches for c in words.chunks(batch.column(0), hasher)):
+            token, before, _ = tokens(chunk)
+            parts += [pair_keys(before, token), word_keys(token), word_keys(before[before == START])]
+            held += 2 * len(token)
+            if held >= HELD:
+                yield sent_off(parts)
+                parts, held = [], 0
+        if parts:
+            yield sent_off(parts)
 
     def entered(group: pa.Table) -> pa.Table:
         five = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint8).reshape(-1, 5)
@@ -185,6 +198,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     counts alone. Other columns are left out.
     """
     spark = df.sparkSession
+    small_batches(spark)
     train = df.where(~held_out(id_col)).select(text_col)
     counts = word_counts(train)
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()

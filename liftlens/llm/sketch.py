@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 30
 BLOCK = 1 << 16
+#: Items that a task holds before it counts them and sends the counts off.
+HELD = 1 << 20
 
 
 def cells_for(items: int) -> int:
@@ -53,21 +55,28 @@ def count(df: DataFrame, items: Callable[[pa.RecordBatch], Iterable[np.ndarray]]
     out = Levels(cells, levels)
     shift = out.shift
 
+    def sent_off(parts: list[np.ndarray]) -> pa.RecordBatch:
+        cell, n = np.unique(np.concatenate(parts), return_counts=True)
+        n, block = np.minimum(n, 255).astype(np.uint8), cell // BLOCK
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(cell)]]) if len(cell) else [0]
+        ids, places, counts = [], [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            ids.append(int(block[a]))
+            places.append((cell[a:b] % BLOCK).astype(np.uint16).tobytes())
+            counts.append(n[a:b].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())],
+                                          names=["block", "places", "counts"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [(h >> shift).astype(np.uint32) for h in items(batch)]
-            if not parts:
-                continue
-            cell, n = np.unique(np.concatenate(parts), return_counts=True)
-            n, block = np.minimum(n, 255).astype(np.uint8), cell // BLOCK
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(cell)]]) if len(cell) else [0]
-            ids, places, counts = [], [], []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                ids.append(int(block[a]))
-                places.append((cell[a:b] % BLOCK).astype(np.uint16).tobytes())
-                counts.append(n[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())],
-                                             names=["block", "places", "counts"])
+        parts, held = [], 0
+        for h in (h for batch in batches for h in items(batch)):
+            parts.append((h >> shift).astype(np.uint32))
+            held += len(h)
+            if held >= HELD:
+                yield sent_off(parts)
+                parts, held = [], 0
+        if parts:
+            yield sent_off(parts)
 
     def added(group: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)

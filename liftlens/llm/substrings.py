@@ -7,7 +7,7 @@ repeated and are dropped for good. The second pass groups the windows of the oth
 (together 128 bits).
 
 Hot passages: equal runs of one batch become one row with their number, and places stay in a table of their own, so the
-exact grouping sees at most one row of a run for each batch.
+exact grouping sees at most one row of a run for some ten thousands of places. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -16,14 +16,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlens.llm import sketch, words
-from liftlens.session import materialize
+from liftlens.session import materialize, small_batches
 
 WINDOW, LEADER = 35, 18
 SEED, LEADER_MULTIPLIER, WINDOW_MULTIPLIER = 6, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+#: Suspect places that a task holds before it sends them off.
+HELD = 50_000
 #: About so many bytes of text for each leader place, to size the sketch.
 BYTES_A_PLACE = 60
 
@@ -55,6 +58,7 @@ def runs(chunk: words.Chunk, window: int, leader: int) -> tuple[np.ndarray, np.n
 def suspects(df: DataFrame, id_col: str, text_col: str, window: int, leader: int) -> DataFrame:
     """Runs whose leader is estimated repeated: (``leader``, hashes of their ``windows``, and the places ``ids``, ``keys``, ``starts``)."""
     spark = df.sparkSession
+    small_batches(spark)
     texts = df.select(text_col)
     cells = sketch.cells_for(sketch.text_bytes(texts, text_col) // BYTES_A_PLACE * 4)
 
@@ -64,10 +68,23 @@ def suspects(df: DataFrame, id_col: str, text_col: str, window: int, leader: int
 
     seen = spark.sparkContext.broadcast(sketch.count(texts, items, cells, (2,)))
 
+    def table(batch: pa.RecordBatch, rows: dict[tuple[int, bytes], list[tuple[int, int]]]) -> pa.RecordBatch:
+        of = np.fromiter((t for places in rows.values() for t, _ in places), np.int64)
+        starts = pa.array([s for places in rows.values() for _, s in places], pa.int32())
+        ends = pa.array(np.cumsum([0] + [len(places) for places in rows.values()], dtype=np.int32))
+        widths = pa.array(np.cumsum([0] + [len(w) // 8 for _, w in rows], dtype=np.int32))
+        listed = lambda values: pa.ListArray.from_arrays(ends, values)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.array([v for v, _ in rows], np.uint64).view(np.int64)),
+             pa.ListArray.from_arrays(widths, pa.array(np.frombuffer(b"".join(w for _, w in rows), np.int64))),
+             listed(batch.column(0).take(pa.array(of))), listed(batch.column(1).take(pa.array(of))), listed(starts)],
+            names=["leader", "windows", "ids", "keys", "starts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = words.Hasher(SEED, False)
         for batch in batches:
             rows: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            held = 0
             for chunk in words.chunks(batch.column(2), hasher):
                 lead, begin, end = runs(chunk, window, leader)
                 keep = np.flatnonzero(seen.value.reached(lead))
@@ -79,19 +96,12 @@ def suspects(df: DataFrame, id_col: str, text_col: str, window: int, leader: int
                 for value, a, b, t, s in zip(lead[keep].tolist(), begin[keep].tolist(), end[keep].tolist(),
                                              (text + chunk.first).tolist(), start.tolist()):
                     rows.setdefault((value, hashes[a:b].tobytes()), []).append((t, s))
-            if not rows:
-                continue
-            of = np.fromiter((t for places in rows.values() for t, _ in places), np.int64)
-            starts = pa.array([s for places in rows.values() for _, s in places], pa.int32())
-            ends = pa.array(np.cumsum([0] + [len(places) for places in rows.values()], dtype=np.int32))
-            flat = b"".join(w for _, w in rows)
-            widths = pa.array(np.cumsum([0] + [len(w) // 8 for _, w in rows], dtype=np.int32))
-            listed = lambda values: pa.ListArray.from_arrays(ends, values)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([v for v, _ in rows], np.uint64).view(np.int64)),
-                 pa.ListArray.from_arrays(widths, pa.array(np.frombuffer(flat, np.int64))),
-                 listed(batch.column(0).take(pa.array(of))), listed(batch.column(1).take(pa.array(of))), listed(starts)],
-                names=["leader", "windows", "ids", "keys", "starts"])
+                held += len(keep)
+                if held >= HELD:
+                    yield table(batch, rows)
+                    rows, held = {}, 0
+            if rows:
+                yield table(batch, rows)
 
     kind = df.schema[id_col].dataType.simpleString()
     made = df.select(id_col, F.xxhash64(text_col).alias("key"), text_col).mapInArrow(
@@ -108,12 +118,29 @@ def repeated(found: DataFrame) -> DataFrame:
     return counted.groupBy("x.run").agg(F.bit_or(F.expr("shiftleft(1L, x.at)")).alias("mask"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), window: int = WINDOW) -> DataFrame:
+def packed(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with the text column compressed (zstd) as ``_text``, for its way to the marks."""
+    kept = [c for c in df.columns if c != text_col]
+    schema = df.select(*kept).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = (b"" if t is None else pack(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*kept, "_text"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return df.select(*kept, text_col).mapInArrow(run, f"{ddl}, _text binary")
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), window: int = WINDOW,
+          verbatim: bool = False) -> DataFrame:
     """(id, ``keep`` columns, ``n_words``, ``n_removed``, ``kept`` text) of every row.
 
-    ``kept`` has the words that are left, joined by one space. Windows are judged on the input; a window that starts twice
-    in one text, or in two equal rows, is repeated too. Null, empty and short texts have no window and lose nothing; null
-    ids are allowed. Columns that are not in ``keep`` are left out; put ones with clashing names into a struct.
+    ``kept`` has the words that are left, joined by one space; with ``verbatim``, a text that loses none stays as it is.
+    Windows are judged on the input; a window that starts twice in one text, or in two equal rows, is repeated too. Null,
+    empty and short texts have no window and lose nothing (a null text becomes an empty one); null ids are allowed.
+    Columns that are not in ``keep`` are left out; put ones with clashing names into a struct.
     """
     found = suspects(df, id_col, text_col, window, LEADER)
     places = (found.join(repeated(found), "run")
@@ -121,25 +148,27 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: S
               .groupBy(F.col("p.ids").alias("at_id"), F.col("p.keys").alias("at_key"))
               .agg(F.collect_list(F.struct(F.col("p.starts").alias("start"), "mask")).alias("marks")))
     names = [id_col, *keep]
-    docs = df.select(*names, F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    docs = packed(df.select(*names, F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_plain")), "_plain")
     marked = docs.join(places, F.col(id_col).eqNullSafe(F.col("at_id")) & (F.col("_key") == F.col("at_key")), "left").select(
         *names, "_text", F.col("marks.start").alias("_starts"), F.col("marks.mask").alias("_masks"))
     schema = docs.select(*names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
                 text, starts, masks = (part.column(part.num_columns - k) for k in (3, 2, 1))
                 total, removed, kept = [], [], []
-                for t, s, m in zip(text.to_pylist(), starts, masks):
-                    own = (t or "").encode().split()
+                for t, s, m in zip(text, starts, masks):
+                    data = unpack(t.as_buffer()) if len(t.as_buffer()) else b""
+                    own = data.split()
                     total.append(len(own))
                     if s.is_valid:
                         gone = covered(s.values.to_numpy(), m.values.to_numpy(), len(own), window)
                         own = [own[i] for i in np.flatnonzero(~gone).tolist()]
                     removed.append(total[-1] - len(own))
-                    kept.append(b" ".join(own))
+                    kept.append(data if verbatim and not removed[-1] else b" ".join(own))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-3], pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
                      pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept"])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together, and bytes that one table of powers covers.
-CHUNK, SEGMENT = 1 << 21, 1 << 18
+CHUNK, SEGMENT = 1 << 20, 1 << 18
 _U = np.uint64
 
 
