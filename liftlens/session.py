@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,10 +52,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` has written; call it when no result that reads them is needed any more."""
+def written() -> tuple[str, ...]:
+    """Folders of the tables that ``materialize`` has written and that have not been released."""
+    return tuple(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> int:
+    """Delete tables that ``materialize`` has written, all or those at ``paths``; call it when no result reads them any more."""
     jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in [p for p in _WRITTEN if paths is None or p in set(paths)]:
+        _WRITTEN.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         gone += path.getFileSystem(conf).delete(path, True)
     return gone
