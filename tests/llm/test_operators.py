@@ -244,3 +244,26 @@ def test_empty_tables_give_no_rows(empty, apply):
 def test_no_vectors_give_no_rows(spark):
     nothing = frame(spark, [], "vec_id long, embedding array<float>")
     assert neighbours.nearest(nothing, F.col("vec_id") % 20 == 0, 20).collect() == []
+
+
+def test_filter_grows_with_the_corpus_and_ends_at_its_highest_level():
+    rng = np.random.default_rng(6)
+    for n in (1_000, 400_000):
+        rest = np.unique(rng.integers(0, 2 ** 40, n).astype(np.uint64))
+        made = lm.block_of(rest, np.full(len(rest), 2))
+        strangers = rng.integers(2 ** 40, 2 ** 41, 200_000).astype(np.uint64)
+        assert (made.found(np.zeros(len(rest), np.int64), rest) == 2).all()
+        assert (made.found(np.zeros(len(strangers), np.int64), strangers) > 0).mean() < 0.005
+    assert lm.Filter(1 << 32).room << 6 >= lm.BITS_AN_ENTRY << 32
+    full = lm.Filter(1000)
+    full.data = np.full((full.room << full.block_bits) // 8, 255, np.uint8)
+    assert lm.typical_counts()[full.levels(rng.integers(0, 2 ** 64, 50, np.uint64))].max() > 0
+
+
+def test_language_model_scores_do_not_depend_on_blocks_and_units(docs, monkeypatch):
+    want = sorted_rows((r.doc_id, round(r.score, 6)) for r in lm.score(docs).collect())
+    monkeypatch.setattr(lm, "WORDS_A_BLOCK", 100)
+    monkeypatch.setattr(lm, "UNIT", 2000)
+    got = sorted_rows((r.doc_id, round(r.score, 6)) for r in lm.score(docs).collect())
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert np.mean([abs(a - b) < 0.02 * abs(b) + 1e-6 for (_, a), (_, b) in zip(got, want)]) > 0.9
