@@ -105,8 +105,8 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_quality": op3_quality,
                "op4_neighbours": op4_neighbours, "op5_licenses": op5_licenses, "op6_substrings": op6_substrings,
-               "op7_langid": op7_langid, "op8_jaccard": op8_jaccard, "op9_lm": op9_lm, "op10_mixing": op10_mixing, "op11_lines": op11_lines, "op12_whitening": op12_whitening,
-               "op13_search": op13_search}
+               "op7_langid": op7_langid, "op8_jaccard": op8_jaccard, "op9_lm": op9_lm, "op10_mixing": op10_mixing,
+               "op11_lines": op11_lines, "op12_whitening": op12_whitening, "op13_search": op13_search}
 
 #: The table is filled turn by turn: one recursion step for each turn of a shard, its first free slot by a scan of its order.
 OP2_SQL = """
