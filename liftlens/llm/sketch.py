@@ -1,7 +1,8 @@
 """Counts of hashed items in a fixed number of cells: a count-min sketch of one row, merged from partitions.
 
-Each task counts the cells of its own items; counts of one block of cells meet in one small group and are added. The
-result says for each cell whether its count reaches a level. Items that share a cell are overestimated, none is ever
+Each task counts the cells of its own items and sends the counts off in a bounded number of rows, one for each range of cells,
+so rows follow the items and not items times cells. The rows of one range meet in one group, which reads them one batch at a
+time. The result says for each cell whether its count reaches a level. Items that share a cell are overestimated, none is ever
 underestimated. The number of cells follows the input up to ``MAX_CELLS``, which bounds what is broadcast.
 """
 
@@ -15,9 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 30
+#: Cells whose places fit in two bytes.
 BLOCK = 1 << 16
+#: Ranges of cells, whatever their number, and so rows of one send-off at the most.
+RANGES = 64
 #: Items that a task holds before it counts them and sends the counts off.
 HELD = 1 << 20
+#: Counts stop here; levels are not above it.
+TOP = 255
 
 
 def cells_for(items: int) -> int:
@@ -53,43 +59,50 @@ class Levels:
 def count(df: DataFrame, items: Callable[[pa.RecordBatch], Iterable[np.ndarray]], cells: int, levels: Sequence[int]) -> Levels:
     """Sketch of all hashes that ``items`` yields for the batches of ``df``; give ``df`` only the columns it needs."""
     out = Levels(cells, levels)
-    shift = out.shift
+    shift, size = out.shift, max(cells // RANGES, BLOCK)
+    blocks = size // BLOCK
 
     def sent_off(parts: list[np.ndarray]) -> pa.RecordBatch:
         cell, n = np.unique(np.concatenate(parts), return_counts=True)
-        n, block = np.minimum(n, 255).astype(np.uint8), cell // BLOCK
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(cell)]]) if len(cell) else [0]
-        ids, places, counts = [], [], []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            ids.append(int(block[a]))
-            places.append((cell[a:b] % BLOCK).astype(np.uint16).tobytes())
+        n = np.minimum(n, TOP).astype(np.uint8)
+        ranges = np.unique(cell // size)
+        bounds = np.searchsorted(cell, np.append(ranges, ranges[-1:] + 1).astype(np.int64) * size)
+        ends, places, counts = [], [], []
+        for first, a, b in zip(ranges.tolist(), bounds[:-1], bounds[1:]):
+            own = cell[a:b] - first * size
+            ends.append(np.searchsorted(own, np.arange(1, blocks + 1) * BLOCK).astype(np.int32).tobytes())
+            places.append((own % BLOCK).astype(np.uint16).tobytes())
             counts.append(n[a:b].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())],
-                                          names=["block", "places", "counts"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ranges.astype(np.int32)), pa.array(ends, pa.binary()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())],
+            names=["cells", "ends", "places", "counts"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for h in (h for batch in batches for h in items(batch)):
-            parts.append((h >> shift).astype(np.uint32))
+            parts.append((h >> shift).astype(np.int64))
             held += len(h)
             if held >= HELD:
                 yield sent_off(parts)
                 parts, held = [], 0
-        if parts:
+        if held:
             yield sent_off(parts)
 
-    def added(group: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for places, counts in zip(group["places"].to_pylist(), group["counts"].to_pylist()):
-            total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint8)
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.uint8)
+        for batch in batches:
+            for ends, places, counts in zip(batch.column("ends"), batch.column("places"), batch.column("counts")):
+                ends = np.frombuffer(ends.as_buffer(), np.int32)
+                block = np.repeat(np.arange(blocks), np.diff(ends, prepend=0))
+                at = block * BLOCK + np.frombuffer(places.as_buffer(), np.uint16)
+                total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(counts.as_buffer(), np.uint8), TOP)
         maps = b"".join(np.packbits(total >= level).tobytes() for level in levels)
-        return pa.table({"block": group["block"][:1], "maps": pa.array([maps], pa.binary())})
-
-    sent = df.mapInArrow(counted, "block int, places binary, counts binary")
-    merged = sent.groupBy("block").applyInArrow(added, "block int, maps binary").toArrow()
-    size = BLOCK // 8
-    for block, maps in zip(merged["block"].to_pylist(), merged["maps"]):
-        view = np.frombuffer(maps.as_buffer(), np.uint8)
-        for i, bits in enumerate(out.maps):
-            bits[block * size:(block + 1) * size] = view[i * size:(i + 1) * size]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([maps], pa.binary())], names=["cells", "maps"])
+
+    sent = df.mapInArrow(counted, "cells int, ends binary, places binary, counts binary")
+    merged = sent.groupBy("cells").applyInArrow(added, "cells int, maps binary").toArrow()
+    for at, maps in zip(merged["cells"].to_pylist(), merged["maps"]):
+        view = np.frombuffer(maps.as_buffer(), np.uint8).reshape(len(levels), -1)
+        for bits, own in zip(out.maps, view):
+            bits[at * size // 8:(at + 1) * size // 8] = own
     return out
