@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from liftlens.functions import html as H
 from liftlens.functions.urls import normalize_url, page_base
 from liftlens.operators.audit import crawled_status
+from liftlens.operators.joins import salted_join
 from liftlens.operators.page_facts import page_links, with_content
-from liftlens.session import materialize
+from liftlens.session import BucketedTable, materialize
 
 
 def edges(crawl: DataFrame) -> DataFrame:
@@ -21,45 +22,73 @@ def edges(crawl: DataFrame) -> DataFrame:
     return parsed.select("label", "src", F.posexplode(page_links(F.col("anchors"), F.col("base"))).alias("anchor_pos", "dst"))
 
 
-def _numbered(rows: DataFrame, order: str, first: int) -> DataFrame:
-    """Rows with ``crawl_order`` from ``first`` on, in the order of a column: sorted ranges are numbered on their own and
-    shifted by the sizes of the ranges before them, one number for each range."""
-    ranges = materialize(rows.repartitionByRange(order).sortWithinPartitions(order)
-                         .select("*", F.monotonically_increasing_id().alias("at")), "ranges")
-    part = F.shiftright("at", 33)
-    sizes = ranges.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return (ranges.withColumn("part", part).join(F.broadcast(offsets), "part")
-            .withColumn("crawl_order", (F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1) + first).cast("long")).drop("part", "at", "offset"))
+WALK = ["label", "start"]
 
 
-def reachable(edge_rows: DataFrame, crawl: DataFrame, start_url: str, max_pages: int | None = None) -> DataFrame:
-    """Pages reached from ``start_url`` in breadth-first order: all of them, or the first ``max_pages``.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(label, start, url, at): rows of each walk numbered from 0 in the order of ``place``, and by url where a page that was
+    crawled twice has two links at one place.
+
+    Rows are sorted by ranges over all walks; a range numbers its own rows, and what the ranges before it hold of the same
+    walk is added, one number for each range and walk in it.
+    """
+    order = [*WALK, "place", "url"]
+    ranges = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33)), "ranges")
+    pieces = ranges.groupBy("part", *WALK).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy(*WALK).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = pieces.select("part", *WALK, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return ranges.join(shifts, ["part", *WALK]).select(*WALK, "url", (F.col("id") + F.col("shift")).alias("at"))
+
+
+def found_next(links: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
+    """(label, start, url, place): targets of the frontier's pages that their walk has not seen, with the first way to them.
+
+    ``links`` is bucketed by (label, src) and ``visited`` by (label, start, url): only the frontier and what it links to move.
+    """
+    return (links.join(frontier.select(*WALK, F.col("url").alias("src"), "at"), ["label", "src"])
+            .groupBy(*WALK, F.col("dst").alias("url")).agg(F.min(F.struct("at", "anchor_pos")).alias("place"))
+            .join(visited.select(*WALK, "url"), [*WALK, "url"], "left_anti"))
 
-    One round for each level. The pages seen are a table that a round extends: the links of the last level's pages, without
-    targets seen before, are grouped by target and numbered in (parent order, anchor) order. Only the number of new pages
-    comes to the driver. Unknown urls count as status 404 and are not followed.
+
+def walks(edge_rows: DataFrame, starts: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Breadth-first walks (label, start, url, level, crawl_order) from every row (label, url) of ``starts``, all at once.
+
+    A round takes every walk one level further: targets not seen by their walk are numbered in (parent order, anchor) order and
+    appended to the table of pages seen. Only the number of new rows comes to the driver. ``max_pages`` keeps the first pages
+    of each walk. A start without links is a walk of one page; repeated starts are one walk.
     """
-    spark = crawl.sparkSession
-    stored = materialize(edge_rows.select("src", "dst", "anchor_pos"), "edges")
-    visited = frontier = materialize(spark.range(1).select(
-        normalize_url(F.lit(start_url)).alias("url"), F.lit(0).alias("level"), F.col("id").alias("crawl_order")), "visited")
-    total, level = 1, 0
-    while max_pages is None or total < max_pages:
+    spark = edge_rows.sparkSession
+    links = BucketedTable(spark, "links", ["label", "src"])
+    links.append(edge_rows.select("label", "src", "dst", "anchor_pos"))
+    visited = BucketedTable(spark, "visited", [*WALK, "url"])
+    begun = starts.select("label", normalize_url(F.col("url")).alias("start")).distinct()
+    frontier = materialize(begun.select(*WALK, F.col("start").alias("url"), F.lit(0).cast("long").alias("at")), "frontier")
+    level, new = 0, 1
+    while new:
+        visited.append(frontier.withColumn("level", F.lit(level)))
+        if max_pages is not None:
+            full = visited.read().groupBy(*WALK).agg(F.count("*").alias("n")).where(F.col("n") >= max_pages)
+            frontier = frontier.join(full, WALK, "left_anti")
         level += 1
-        found = (stored.join(frontier.select(F.col("url").alias("src"), "crawl_order"), "src")
-                 .groupBy("dst").agg(F.min(F.struct("crawl_order", "anchor_pos")).alias("place"))
-                 .join(visited.select(F.col("url").alias("dst")), "dst", "left_anti"))
-        frontier = materialize(_numbered(found, "place", total).select(F.col("dst").alias("url"), F.lit(level).alias("level"), "crawl_order"),
-                               "visited")
+        frontier = materialize(_numbered(found_next(links.read(), frontier, visited.read())), "frontier")
         new = frontier.count()
-        if not new:
-            break
-        total += new
-        visited = visited.unionByName(frontier)
-    if max_pages is not None:
-        visited = visited.where(F.col("crawl_order") < max_pages)
-    status = crawled_status(crawl).select("url", "status")
-    return visited.join(status, "url", "left").select(
-        F.col("crawl_order").cast("int").alias("crawl_order"), "url", "level", F.coalesce("status", F.lit(404)).alias("status"))
+    seen = visited.read()
+    sizes = seen.groupBy(*WALK, "level").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*WALK).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*WALK, "level", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    out = salted_join(seen, shifts, [*WALK, "level"], ["url"]).select(
+        *WALK, "url", "level", (F.col("at") + F.col("shift")).cast("int").alias("crawl_order"))
+    return out if max_pages is None else out.where(F.col("crawl_order") < max_pages)
+
+
+def with_status(pages: DataFrame, crawl: DataFrame) -> DataFrame:
+    """Pages (label, url, ...) with the status of the crawl; unknown urls count as 404."""
+    found = salted_join(pages, crawled_status(crawl), ["label", "url"], ["start"], "left")
+    return found.withColumn("status", F.coalesce("status", F.lit(404)))
+
+
+def reachable(edge_rows: DataFrame, crawl: DataFrame, start_url: str, max_pages: int | None = None) -> DataFrame:
+    """Pages reached from ``start_url`` in each label of the crawl, in breadth-first order; unknown urls are not followed."""
+    starts = crawl.select("label").distinct().withColumn("url", F.lit(start_url))
+    return with_status(walks(edge_rows, starts, max_pages), crawl).select("label", "crawl_order", "url", "level", "status")

@@ -376,6 +376,15 @@ SELECT label, url, max_by(status, page_id) AS status FROM (SELECT label, {_norma
 UNION ALL
 SELECT label, dst, CASE WHEN max(length(href)) % 7 = 0 THEN 404 ELSE 200 END
 FROM edges WHERE (label, dst) NOT IN (SELECT (label, {_normal("url")}) FROM crawl_pages) GROUP BY ALL"""
+CTES["numbered"] = f"""
+SELECT url, origin, row_number() OVER (PARTITION BY origin ORDER BY page_id) AS n
+FROM (SELECT page_id, {_normal("url")} AS url, lower(regexp_extract(url, '{_URL}', 1)) || '://' || lower(regexp_extract(url, '{_URL}', 2)) AS origin
+      FROM pages)"""
+CTES["ways"] = """
+SELECT label, src, dst, 0 AS kind, anchor_pos FROM edges
+UNION ALL
+SELECT p.label, p.url, door.url, 1, door.n
+FROM parsed p JOIN numbered own ON own.url = p.url JOIN numbered door ON door.origin = own.origin AND door.n // 2 = own.n"""
 CTES["errors"] = f"""
 SELECT label, {_normal("url")} AS url, status FROM crawl_pages WHERE status >= 400
 UNION ALL SELECT label, url, status FROM status_of WHERE status >= 400
@@ -642,19 +651,19 @@ UNION ALL
 SELECT 'C-AUDIT', '{C.CLAIM_AUDIT_SECTION}', printf({_text(C.CLAIM_AUDIT)}, CAST(sum(before) AS BIGINT), CAST(sum("after") AS BIGINT)), 'run',
        '{C.CLAIM_AUDIT_FILE}', 'all rows', 'sum(before)', CAST(sum(before) AS DOUBLE), '', {_text(C.CLAIM_AUDIT_LIMIT)}
 FROM summary""",
-    "reachable_pages": f""", reach AS (
-  SELECT 0 AS level, [{_normal("url")}] AS visited, [{_normal("url")}] AS frontier FROM pages WHERE page_id = 1
+    "reachable_pages": """, reach AS (
+  SELECT label, url AS start, 0 AS level, [url] AS visited, [url] AS frontier FROM numbered, (VALUES ('before'), ('after')) s(label) WHERE n = 1
   UNION ALL
-  SELECT level + 1, list_concat(visited, found), found
-  FROM (SELECT level, visited, list(dst ORDER BY place) AS found
-        FROM (SELECT r.level, r.visited, e.dst, min((list_position(r.frontier, e.src), e.anchor_pos)) AS place
-              FROM reach r JOIN edges e ON list_contains(r.frontier, e.src)
-              WHERE e.label = 'before' AND NOT list_contains(r.visited, e.dst) GROUP BY r.level, r.visited, e.dst)
-        GROUP BY level, visited)),
-ordered AS (SELECT level, unnest(frontier) AS url, generate_subscripts(frontier, 1) AS place FROM reach)
-SELECT CAST(row_number() OVER (ORDER BY level, place) - 1 AS INTEGER) AS crawl_order, o.url, CAST(level AS INTEGER) AS level,
-       coalesce(s.status, 404) AS status
-FROM ordered o LEFT JOIN status_of s ON s.url = o.url AND s.label = 'before'""",
+  SELECT label, start, level + 1, list_concat(visited, found), found
+  FROM (SELECT label, start, level, visited, list(dst ORDER BY place, dst) AS found
+        FROM (SELECT r.label, r.start, r.level, r.visited, e.dst, min((list_position(r.frontier, e.src), e.kind, e.anchor_pos)) AS place
+              FROM reach r JOIN ways e ON e.label = r.label AND list_contains(r.frontier, e.src)
+              WHERE NOT list_contains(r.visited, e.dst) GROUP BY r.label, r.start, r.level, r.visited, e.dst)
+        GROUP BY label, start, level, visited)),
+ordered AS (SELECT label, start, level, unnest(frontier) AS url, generate_subscripts(frontier, 1) AS place FROM reach)
+SELECT CAST(row_number() OVER (PARTITION BY o.label, o.start ORDER BY level, place) - 1 AS INTEGER) AS crawl_order, o.label, o.start, o.url,
+       CAST(level AS INTEGER) AS level, coalesce(s.status, 404) AS status
+FROM ordered o LEFT JOIN status_of s ON s.url = o.url AND s.label = o.label""",
 }
 FINALS["result_checks"] = f"""SELECT name, ok, CASE WHEN ok THEN '' ELSE 'failed' END AS detail FROM (
   SELECT 'prediction_run_id' AS name, bool_and(run_id = 'run') AS ok FROM predictions
@@ -679,7 +688,7 @@ def _assemble(final: str) -> str:
     if not final.startswith(","):
         return _query(final)
     recursive, body = final[1:].rsplit("\nSELECT CAST(row_number()", 1)
-    needed = _query("SELECT 1 FROM edges, status_of")
+    needed = _query("SELECT 1 FROM ways, status_of")
     return needed.rsplit("\nSELECT 1", 1)[0] + ",\n" + recursive + "\nSELECT CAST(row_number()" + body
 
 

@@ -106,9 +106,10 @@ def url_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawl = X.crawl(X.table(spark, sf_dir, "pages")).where(F.col("label") == "before")
-    start = X.table(spark, sf_dir, "pages").where(F.col("page_id") == 1).select("url").first()[0]
-    return L.reachable(L.edges(crawl), crawl, start).select("crawl_order", "url", "level", "status")
+    """What can be reached from the first page of every origin, before and after; pages open on others as in a tree."""
+    raw = X.table(spark, sf_dir, "pages")
+    crawl = X.crawl(X.linked(raw))
+    return L.with_status(L.walks(L.edges(crawl), X.first_pages(raw)), crawl).select("label", "start", "crawl_order", "url", "level", "status")
 
 
 def lighthouse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +42,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class BucketedTable:
+    """A stored table that grows by appends and is bucketed by ``keys``, so that joins on them leave its rows where they are.
+
+    It lies in the work folder under a name of its own in the session's catalog. ``release`` deletes its files.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, keys: Sequence[str]):
+        self.spark, self.keys, self.name = spark, list(keys), f"{label}_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = f"{work_dir(spark)}/{self.name}"
+        _WRITTEN.append(self.path)
+
+    def append(self, df: DataFrame) -> None:
+        (df.repartition(self.buckets, *self.keys).write.format("parquet").mode("append").bucketBy(self.buckets, *self.keys)
+         .option("path", self.path).saveAsTable(self.name))
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Spark hand at most ``rows`` rows at a time to Python functions, for tables of long texts.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftlens import constants as C
-from liftlens.functions.urls import normalize_url, page_base, resolve_link
+from liftlens.functions.urls import normalize_url, page_base, resolve_link, url_parts
 from liftlens.params import Hypothesis, Params
 
 STUDY = Params(
@@ -147,6 +147,31 @@ def shaped(key: F.Column, html: F.Column) -> F.Column:
     return F.concat(F.substring_index(html, "<body>", 1), F.lit("<body>"), part(BODY_PARTS), F.substring_index(html, "<body>", -1))
 
 
+def _origin(url: F.Column) -> F.Column:
+    parts = url_parts(url)
+    return F.concat(parts["scheme"], F.lit("://"), parts["host"])
+
+
+def first_pages(raw_pages: DataFrame) -> DataFrame:
+    """(label, url) of the page with the smallest id of each origin, in both crawls: where walks over the site start."""
+    first = raw_pages.groupBy(_origin(F.col("url")).alias("origin")).agg(F.min_by("url", "page_id").alias("url"))
+    return first.select(F.explode(F.array(*[F.lit(s) for s in C.SNAPSHOTS])).alias("label"), "url")
+
+
+def linked(raw_pages: DataFrame) -> DataFrame:
+    """The stored pages with doors to other pages at their end: page n of an origin, by id, opens on its pages 2n and 2n + 1."""
+    order = Window.partitionBy("origin").orderBy("page_id")
+    listed = (raw_pages.select("page_id", normalize_url(F.col("url")).alias("url"), _origin(F.col("url")).alias("origin"))
+              .withColumn("n", F.row_number().over(order)))
+    href = F.expr("substring(url, length(origin) + 1)")
+    doors = (listed.where("n > 1").groupBy("origin", F.expr("n div 2").alias("n"))
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("n").alias("at"), href.alias("href")))),
+                                           lambda d: F.concat(F.lit('<p><a href="'), d["href"], F.lit('">on</a></p>'))), "").alias("doors")))
+    placed = listed.join(doors, ["origin", "n"]).select("page_id", "doors")
+    body = F.concat(F.expr("substring_index(html, '</body>', 1)"), F.col("doors"), F.lit("</body></html>"))
+    return raw_pages.join(placed, "page_id", "left").withColumn("html", F.when(F.col("doors").isNull(), F.col("html")).otherwise(body)).drop("doors")
+
+
 def crawl(raw_pages: DataFrame) -> DataFrame:
     """Before and after crawls of the stored pages, plus the statuses of the linked targets."""
     key = F.col("page_id")

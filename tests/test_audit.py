@@ -1,3 +1,4 @@
+import random
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
@@ -13,6 +14,7 @@ from liftlens.operators import audit as A
 from liftlens.operators import links as L
 from liftlens.operators import report as R
 from liftlens.operators.page_facts import page_facts
+from liftlens.session import BucketedTable
 from liftlens.sources import fixtures as X
 
 BASE = "https://shop.test"
@@ -203,3 +205,42 @@ def test_reachable_pages_by_levels(spark):
     assert got == [(i, n, level[n], status(n)) for i, n in enumerate(order)] and max(level.values()) > 5
     first = L.reachable(edges, crawl, f"{BASE}/room0", max_pages=5).orderBy("crawl_order").collect()
     assert [r.url.removeprefix(BASE + "/") for r in first] == order[:5]
+
+
+def test_walks_from_many_starts_at_once(spark):
+    """Every walk sees its own pages, label by label; what a bucketed table holds is not moved."""
+    rng = random.Random(4)
+    graph = {label: {f"{BASE}/{i}": [f"{BASE}/{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 2, 5]))] for i in range(50)}
+             for label in ("before", "after")}
+    rows = [(label, src, dst, at) for label, own in graph.items() for src, targets in own.items() for at, dst in enumerate(targets)]
+    starts = [(label, f"{BASE}/{i}") for label in graph for i in range(0, 55, 3)] + [("after", f"{BASE}/0#again")]
+    want = []
+    for label, start in set(starts[:-1]):
+        order, level = [start], {start: 0}
+        for page in order:  # grows while it is read
+            for target in graph[label].get(page, []):
+                if target not in level:
+                    level[target] = level[page] + 1
+                    order.append(target)
+        want += [(label, start, url, level[url], i) for i, url in enumerate(order)]
+    edges = frame(spark, rows, "label string, src string, dst string, anchor_pos int").repartition(5)
+    begin = frame(spark, starts, "label string, url string")
+    assert sorted(map(tuple, L.walks(edges, begin).collect())) == sorted(want) and max(w[3] for w in want) >= 4
+    assert sorted(map(tuple, L.walks(edges, begin, 7).collect())) == sorted(w for w in want if w[4] < 7)
+    assert L.walks(edges, begin.limit(0)).collect() == []
+
+
+def test_a_round_moves_neither_links_nor_pages_seen(spark):
+    links, seen = BucketedTable(spark, "links", ["label", "src"]), BucketedTable(spark, "visited", [*L.WALK, "url"])
+    links.append(frame(spark, [("after", "a", "b", 0)], "label string, src string, dst string, anchor_pos int"))
+    seen.append(frame(spark, [("after", "a", "a", 0, 0)], "label string, start string, url string, at long, level int"))
+    frontier = frame(spark, [("after", "a", "a", 0)], "label string, start string, url string, at long")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = L.found_next(links.read(), frontier, seen.read())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [r.url for r in found.collect()] == ["b"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") == 2
