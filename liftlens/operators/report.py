@@ -132,3 +132,40 @@ def result_export(metrics: DataFrame, series: DataFrame, ablation: DataFrame, pl
                  F.lit(p.available_until).alias("available_until")).alias("ctr_model"),
         F.from_json(F.lit(json.dumps(truth)), "map<string,double>").alias("truth"))
     return spark.range(1).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
+#: Levels of the document below its root: parts, records, their fields, and the entries of lists in them.
+DOCUMENT_DEPTH = 4
+
+
+def document_fields(export: DataFrame) -> DataFrame:
+    """(path, number, text) of every leaf of result documents: ``audit[3].issue``, ``series[0].weeks[2]``.
+
+    Numbers stand in ``number``; texts, dates and truth values in ``text``; both are null for a null. An empty list has no row.
+    """
+    rows = export.select(F.lit("").alias("path"), F.parse_json("document").alias("v"))
+    out = None
+    for _ in range(DOCUMENT_DEPTH):
+        each = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
+            F.concat("path", F.when(F.col("key").isNull(), F.format_string("[%d]", "pos"))
+                     .when(F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), "key"))).alias("path"), F.col("value").alias("v"))
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+        numeric = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE")
+        leaves = each.where(~nested).select(
+            "path", F.when(numeric, F.try_variant_get("v", "$", "double")).alias("number"),
+            F.when(~numeric, F.try_variant_get("v", "$", "string")).alias("text"))
+        out = leaves if out is None else out.unionByName(leaves)
+        rows = each.where(nested)
+    return out
+
+
+def document_differences(left: DataFrame, right: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(path, left, right) of the leaves in which two tables of document fields differ, or that only one of them has."""
+    def told(fields, side):
+        return fields.select("path", F.struct("number", "text").alias(side))
+
+    number = F.coalesce(F.abs(F.col("left.number") - F.col("right.number")) <= tolerance,
+                        F.col("left.number").isNull() & F.col("right.number").isNull())
+    same = number & F.col("left.text").eqNullSafe(F.col("right.text")) & F.col("left").isNotNull() & F.col("right").isNotNull()
+    return told(left, "left").join(told(right, "right"), "path", "full_outer").where(~same)

@@ -684,6 +684,51 @@ FINALS["result_checks"] = f"""SELECT name, ok, CASE WHEN ok THEN '' ELSE 'failed
   UNION ALL SELECT 'passed', count(*) > 0 FROM predictions)"""
 
 
+def _leaves(part: str, rows: str, order: str, numbers: str, texts: str) -> str:
+    """(path, number, text) of the records of one part of the result document, in ``order``; columns are written ``name`` or ``name=sql``."""
+    fields = [(*(c.split("=", 1) if "=" in c else (c, c)), kind) for kind, columns in (("n", numbers), ("t", texts)) for c in columns.split(", ") if c]
+    listed = ", ".join(
+        f"{{'field': '{name}', 'number': {f'CAST({sql} AS DOUBLE)' if kind == 'n' else 'CAST(NULL AS DOUBLE)'}, "
+        f"'text': {f'CAST({sql} AS VARCHAR)' if kind == 't' else 'CAST(NULL AS VARCHAR)'}}}" for name, sql, kind in fields)
+    place = f"'{part}[' || (row_number() OVER (ORDER BY {order}) - 1) || '].'" if order else f"'{part}'"
+    return (f"SELECT place || leaf.field AS path, round(leaf.number, 6) AS number, leaf.text AS text "
+            f"FROM (SELECT {place} AS place, unnest([{listed}]) AS leaf FROM {rows})")
+
+
+_NUMBERS = [*_METRIC_DOUBLES, "n_treated", "n_control", "min_window_days", "bootstrap_reps"]
+_TEXTS = ", ".join(c for c in _METRIC_NAMES if c not in _NUMBERS)
+_NUMBERS = ", ".join(_NUMBERS)
+_SERIES = f"""(SELECT s.*, h.metric, l.label FROM (SELECT hypothesis_id, name, role, list(week ORDER BY week) AS weeks, list(value ORDER BY week) AS points
+                    FROM series GROUP BY hypothesis_id, name, role) s
+ JOIN hyp h USING (hypothesis_id) JOIN ({_values(list(C.METRIC_LABELS.items()), "metric, label")}) l USING (metric))"""
+
+
+def _entries(name: str, column: str) -> str:
+    return (f"SELECT place || '{name}[' || (i - 1) || ']', round(CAST({column}[i] AS DOUBLE), 6), NULL "
+            f"FROM (SELECT 'series[' || (row_number() OVER (ORDER BY hypothesis_id, role, name) - 1) || '].' AS place, {column}, "
+            f"unnest(range(1, len({column}) + 1)) AS i FROM {_SERIES})")
+
+
+FINALS["result_fields"] = "\nUNION ALL ".join([
+    _leaves("", "train_end", "", f"schema_version=1, bootstrap_reps={P.bootstrap_reps}",
+            f"mode='{P.mode}', mode_label={_text(C.MODE_LABELS[P.mode])}, run_id='run', model_version='{C.EFFECT_MODEL}', "
+            f"analysis_cutoff='{P.analysis_cutoff}', available_until='{P.available_until}', data_sha256=NULL, truth=NULL, "
+            f"ctr_model.model_version='{C.CTR_MODEL}', ctr_model.train_end_exclusive=train_end, ctr_model.available_until='{P.available_until}'"),
+    _leaves("data_period.", '(SELECT min(date) AS first, max(date) AS last FROM gsc)', "", "", "start=first, end=last"),
+    _leaves("hypotheses", "(SELECT e.*, h.statement FROM evaluation e JOIN hyp h USING (hypothesis_id))", "hypothesis_id", _NUMBERS, _TEXTS + ", statement"),
+    _leaves("ablation", f"(SELECT * FROM metrics JOIN ({_values(list(C.MODEL_LABELS.items()), 'model, model_label')}) USING (model))",
+            "hypothesis_id, model", _NUMBERS, _TEXTS + ", model_label"),
+    _leaves("placebo", "(SELECT *, coalesce(ci_low <= 0 AND ci_high >= 0, false) AS contains_zero FROM metrics_p WHERE model = 'did')",
+            "hypothesis_id", _NUMBERS, _TEXTS + ", contains_zero"),
+    _leaves("audit", "summary", "category, issue", 'before, after="after"', "category, issue"),
+    _leaves("lighthouse", f"({FINALS['lighthouse_summary']})", "design_group, snapshot", ", ".join(C.MEASURES), "design_group, snapshot"),
+    _leaves("authority", "authority_site", "date, metric, source", "value", "date, metric, source"),
+    _leaves("ctr_curve", "curve", "bin", "bin, edge, clicks, impressions, ctr, training_rows", ""),
+    _leaves("series", _SERIES, "hypothesis_id, role, name", f"ramp_weeks={-(-P.ramp_days // 7)}",
+            "hypothesis_id, name, role, metric, metric_label=label, lower_is_better=(metric = 'position')"),
+    _entries("weeks", "weeks"), _entries("values", "points")])
+
+
 def _assemble(final: str) -> str:
     if not final.startswith(","):
         return _query(final)

@@ -168,6 +168,12 @@ def result_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.export(r.study.placebo())
 
 
+def result_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of the result document with its path."""
+    r = Results(spark, sf_dir)
+    return rounded(R.document_fields(materialize(r.export(r.study.placebo()), "export")))
+
+
 def result_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Results(spark, sf_dir)
     s = r.study
@@ -235,4 +241,5 @@ QUERIES: dict[str, Query] = {
     "claims": claims,
     "result_checks": result_checks,
     "result_export": result_export,
+    "result_fields": result_fields,
 }

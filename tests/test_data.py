@@ -11,6 +11,7 @@ from liftlens import constants as C
 from liftlens.operators import checks as Q
 from liftlens.operators import panel as P
 from liftlens.operators import quality
+from liftlens.operators import report as R
 from liftlens.operators.joins import salted_join
 from liftlens.operators.ranking import spread_rank
 from liftlens.params import arms, hypotheses, models
@@ -250,3 +251,39 @@ def test_checks_notice_damage(spark):
     bad = Q.recomputed({"metrics": (bent, pred)}, bent, s.trend, s.hyp).first()
     assert not bad.ok and bad.detail == "metrics:K1/did"
     assert not Q.ablation_matches(stored, bent).first().ok and Q.ablation_matches(stored, stored).first().ok
+
+
+def test_document_fields_and_their_differences(spark):
+    text = '{"run": "a", "none": null, "on": true, "list": [{"n": 1.5, "w": [1, 2]}, {"n": -2, "w": []}], "part": {"day": "2024-01-01"}}'
+    document = spark.range(1).select(F.lit(text).alias("document"))
+    fields = R.document_fields(document)
+    assert sorted(map(tuple, fields.collect())) == sorted([
+        ("run", None, "a"), ("none", None, None), ("on", None, "true"), ("list[0].n", 1.5, None), ("list[0].w[0]", 1.0, None),
+        ("list[0].w[1]", 2.0, None), ("list[1].n", -2.0, None), ("part.day", None, "2024-01-01")])
+    assert R.document_differences(fields, fields).collect() == []
+    other = spark.range(1).select(F.lit(text.replace("-2", "-2.1").replace(', "none": null', "").replace('"a"', '"b"')).alias("document"))
+    assert {r.path for r in R.document_differences(fields, R.document_fields(other)).collect()} == {"run", "none", "list[1].n"}
+
+
+def test_checks_notice_damage_to_claims_and_document(spark):
+    claims = frame(spark, [("C-K1", "run", 0.5), ("C-AUDIT", "run", 3.0)], "claim_id string, run_id string, value double")
+    metrics = frame(spark, [("K1", "did", "yes", 0.5, 0.1, 0.9)],
+                    "hypothesis_id string, model string, decision string, estimate double, ci_low_adj double, ci_high_adj double")
+    summary = frame(spark, [("technical", 1), ("content", 2)], "category string, before long")
+    record = '{"hypothesis_id": "K1", "estimate": 0.5, "ci_low_adj": 0.1, "ci_high_adj": 0.9, "decision": "yes"}'
+    export = spark.range(1).select(F.lit(f'{{"run_id": "run", "hypotheses": [{record}]}}').alias("document"))
+    digest = spark.range(1).select(F.lit("abc").alias("sha256"))
+
+    def failed(claims=claims, metrics=metrics, summary=summary, export=export, recorded="abc"):
+        rows = Q.run_checks([Q.claims_match(claims, metrics, summary, "run"), Q.export_matches(export, metrics, "run"),
+                             Q.hash_matches(digest, "sha256", recorded, "data_hash")]).collect()
+        return {r.name: r.detail for r in rows if not r.ok}
+
+    assert failed() == {}
+    assert failed(recorded="abd").keys() == {"data_hash", "passed"}
+    bent = claims.withColumn("value", F.col("value") + F.when(F.col("claim_id") == "C-K1", 0.01).otherwise(0))
+    assert failed(claims=bent) == {"claims_match_run": "C-K1", "passed": "claims_match_run"}
+    assert failed(summary=summary.limit(1))["claims_match_run"] == "C-AUDIT"
+    told = export.select(F.replace("document", F.lit('"yes"'), F.lit('"no"')).alias("document"))
+    assert failed(export=told) == {"export_matches_metrics": "K1", "passed": "export_matches_metrics"}
+    assert failed(metrics=metrics.withColumn("estimate", F.lit(0.7))).keys() == {"claims_match_run", "export_matches_metrics", "passed"}
