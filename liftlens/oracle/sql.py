@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from liftlens import constants as C
+from liftlens.operators.bootstrap import BLOCK_SLOTS
 from liftlens.sources.fixtures import BODY_PARTS, HEAD_PARTS, LONG_TITLE, SHORT_TITLE, STUDY
 
 P = STUDY
@@ -198,8 +199,6 @@ JOIN (SELECT m.hypothesis_id, m.model, CAST(count(DISTINCT CASE WHEN role = 'con
              coalesce(min(n_days), 0) AS min_window_days
       FROM models m LEFT JOIN (SELECT * FROM windows{tag} WHERE eligible) w
         ON w.hypothesis_id = m.hypothesis_id AND w.metric = m.metric GROUP BY ALL) USING (hypothesis_id, model)"""
-    index = (f"CAST('0x' || substr(md5({P.seed} || '|' || m.hypothesis_id || '|' || m.model || '|{'placebo' if shift else ''}|' "
-             "|| rep || '|' || {role} || '|' || slot), 1, 15) AS BIGINT) % n")
     CTES["control_rank" + tag] = f"""
 SELECT hypothesis_id, metric, page, count(*) OVER g AS n,
        row_number() OVER (PARTITION BY hypothesis_id, metric ORDER BY substr(md5(page), 1, 3), page) - 1 AS slot
@@ -215,6 +214,41 @@ SELECT hypothesis_id, metric, arm, page, window_key, delta, count(*) OVER (PARTI
 FROM deltas{tag} WHERE role = 'treated'"""
     usable = (f"(SELECT m.* FROM models m JOIN sizes{tag} USING (hypothesis_id, model) WHERE enough"
               + (" AND m.model = 'did'" if shift else "") + ") m")
+    for side, rank, of, by, role, which in (
+            ("control", "control_rank", "", "hypothesis_id, metric", "'control'", "m.model <> 'naive_prepost'"),
+            ("treated", "treated_rank", ", s.arm", "hypothesis_id, metric, arm", "arm", "true")):
+        name, plain = f"{side}_split{tag}", of.replace("s.", "")
+        text = (f"({P.seed} || '|' || hypothesis_id || '|' || model || '|{'placebo' if shift else ''}|' || {role} || '|' || rep)")
+        columns = f"hypothesis_id, model, kind, metric{plain}, rep, n, low, high"
+        thrown = (f"list_sum(list_transform(range(0, (undecided + 59) // 60), lambda j: bit_count(CAST('0x' || substr(md5({text}"
+                  " || '|' || low || '|' || high || '|' || place || '|' || j), 1, 15) AS BIGINT) >> (60 - least(60, undecided - 60 * j)))))")
+        # Each step decides one place of the binary expansion of a range's left share, or halves a range whose draws are decided.
+        CTES[name] = f"""
+WITH RECURSIVE tree AS (
+  SELECT m.hypothesis_id, m.model, m.kind, m.metric{of}, rep, CAST(n AS BIGINT) AS n, CAST(0 AS BIGINT) AS low,
+         CAST((n + {BLOCK_SLOTS - 1}) // {BLOCK_SLOTS} AS BIGINT) AS high, CAST(n AS BIGINT) AS drawn, CAST(n AS BIGINT) AS undecided,
+         CAST(0 AS BIGINT) AS won, least(n, {BLOCK_SLOTS} * (((n + {BLOCK_SLOTS - 1}) // {BLOCK_SLOTS} + 1) // 2))::BIGINT AS rest, 1 AS place
+  FROM {usable} JOIN {rank}{tag} s ON s.hypothesis_id = m.hypothesis_id AND s.metric = m.metric AND s.slot = 0,
+       range({P.bootstrap_reps}) reps(rep)
+  WHERE {which}
+  UNION ALL
+  (SELECT {columns}, drawn, CASE WHEN one THEN ones ELSE undecided - ones END,
+         CASE WHEN one THEN won + undecided - ones ELSE won END, rest * 2 - CASE WHEN one THEN whole ELSE 0 END, place + 1
+  FROM (SELECT *, {thrown}::BIGINT AS ones, rest * 2 >= whole AS one
+        FROM (SELECT *, least(high * {BLOCK_SLOTS}, n) - low * {BLOCK_SLOTS} AS whole FROM tree
+              WHERE high - low > 1 AND undecided > 0 AND place <= 60))
+  UNION ALL
+  SELECT hypothesis_id, model, kind, metric{plain}, rep, n, below, above, part, part, 0,
+         least((below + (above - below + 1) // 2) * {BLOCK_SLOTS}, n) - below * {BLOCK_SLOTS}, 1
+  FROM (SELECT *, CASE side WHEN 0 THEN low ELSE middle END AS below, CASE side WHEN 0 THEN middle ELSE high END AS above,
+               CASE side WHEN 0 THEN won ELSE drawn - won END AS part
+        FROM (SELECT *, low + (high - low + 1) // 2 AS middle FROM tree
+              WHERE high - low > 1 AND (undecided = 0 OR place > 60)), range(2) sides(side))
+  WHERE part > 0))
+SELECT hypothesis_id, model, kind, metric{plain}, rep,
+       low * {BLOCK_SLOTS} + CAST('0x' || substr(md5({text} || '|' || low || '|in|' || draw), 1, 15) AS BIGINT)
+         % least({BLOCK_SLOTS}, n - low * {BLOCK_SLOTS}) AS slot
+FROM tree, range(1, drawn + 1) drawing(draw) WHERE high - low = 1"""
     CTES["draws" + tag] = f"""
 SELECT hypothesis_id, model, rep,
        max(effect) FILTER (WHERE arm = 'a')
@@ -224,15 +258,10 @@ FROM (SELECT t.hypothesis_id, t.model, t.kind, t.rep, t.arm,
                * CASE WHEN t.metric = 'position' THEN -1 ELSE 1 END AS effect
       FROM (SELECT x.hypothesis_id, x.model, x.kind, x.metric, x.rep, x.arm, r.window_key, sum(r.delta) AS total,
                    count(*) AS picked
-            FROM (SELECT m.hypothesis_id, m.model, m.kind, m.metric, s.arm, rep, {index.format(role="s.arm")} AS slot
-                  FROM {usable} JOIN treated_rank{tag} s ON s.hypothesis_id = m.hypothesis_id AND s.metric = m.metric,
-                       range({P.bootstrap_reps}) reps(rep)) x
+            FROM treated_split{tag} x
             JOIN treated_rank{tag} r USING (hypothesis_id, metric, arm, slot) GROUP BY ALL) t
       LEFT JOIN (SELECT x.hypothesis_id, x.model, x.rep, d.arm, d.window_key, avg(d.delta) AS control_mean
-                 FROM (SELECT m.hypothesis_id, m.model, m.metric, rep, {index.format(role="'control'")} AS slot
-                       FROM {usable} JOIN control_rank{tag} s ON s.hypothesis_id = m.hypothesis_id AND s.metric = m.metric,
-                            range({P.bootstrap_reps}) reps(rep)
-                       WHERE m.model <> 'naive_prepost') x
+                 FROM control_split{tag} x
                  JOIN control_rank{tag} r USING (hypothesis_id, metric, slot)
                  JOIN deltas{tag} d ON d.hypothesis_id = r.hypothesis_id AND d.metric = r.metric AND d.page = r.page
                    AND d.role = 'control'

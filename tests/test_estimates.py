@@ -1,21 +1,27 @@
 """Effects, draws, decisions and their parts on small sites whose results follow from plain formulas."""
 
+import importlib
 import itertools
 import math
+import re
 from bisect import bisect_right
 from datetime import date
 from statistics import mean
 
 import numpy as np
 import pytest
+from compare import connect, differences
 from conftest import TURN, Plot, frame, garden, settings
 from pyspark.sql import functions as F
 
 from liftlens import Hypothesis
 from liftlens import constants as C
 from liftlens.functions.stats import ctr_bin, decide, effect_transform, general_number, percent
+from liftlens.operators import bootstrap as B
 from liftlens.operators import evaluation as E
 from liftlens.operators import windows as W
+from liftlens.oracle import sql
+from liftlens.plans.queries import QUERIES
 
 K1 = Hypothesis("K1", "did", "content", "position", threshold=0.1)
 RANKS = {"fern": (12, 9), "moss": (30, 24), "reed": (5, 5), "ash": (10, 10.5), "oak": (40, 44), "elm": (6, 6)}
@@ -59,6 +65,44 @@ def test_draws_follow_the_distribution_of_resampled_pages(ranked):
     assert 0.7 < drawn.std() / np.std(every) < 1.3
 
 
+def test_binomial_draws_have_their_mean_and_variance(spark):
+    whole = lambda n: F.lit(n).cast("bigint")
+    name = F.col("id").cast("string")
+    for trials, part, of in ((150, 37, 100), (7, 1, 3), (61, 1, 2)):
+        drawn = np.array([r.k for r in spark.range(3000).select(B.binomial(whole(trials), whole(part), whole(of), name).alias("k")).collect()])
+        p = part / of
+        assert drawn.min() >= 0 and drawn.max() <= trials
+        assert abs(drawn.mean() - trials * p) < 4 * math.sqrt(trials * p * (1 - p) / 3000)
+        assert 0.85 < drawn.var() / (trials * p * (1 - p)) < 1.15
+    edges = spark.range(1).select(B.binomial(whole(9), whole(4), whole(4), name).alias("all"), B.binomial(whole(0), whole(1), whole(4), name).alias("none")).first()
+    assert (edges.all, edges.none) == (9, 0)
+
+
+def test_a_repetition_splits_all_its_draws_over_the_blocks(spark):
+    p = settings(K1, bootstrap_reps=400)
+    sizes = frame(spark, [("K1", "did", 11)], "hypothesis_id string, model string, n bigint")
+    rows = B.split_draws(sizes, p, "", F.lit("control"), 2, 3).collect()
+    assert {r["block"]: r["size"] for r in rows} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 2, 5: 1}
+    for rep in range(400):
+        assert sum(r.drawn for r in rows if r.rep == rep) == 11
+    for block, size in ((0, 2), (3, 2), (5, 1)):
+        share = sum(r.drawn for r in rows if r["block"] == block) / (400 * 11)
+        assert abs(share - size / 11) < 4 * math.sqrt(size / 11 * (1 - size / 11) / 4400)
+
+
+def test_small_blocks_draw_as_their_twin_and_send_no_drawn_rows(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_SLOTS", 3)
+    twin = importlib.reload(sql).ORACLE_SQL["bootstrap_draws"]
+    drawn = QUERIES["bootstrap_draws"](spark, small_dir)
+    assert differences(connect(small_dir), drawn, twin) == ""
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange .*?\n\s*[:+\- ]*(.*)", plan)
+    assert "Generate explode(sequence(1, drawn" in plan
+    assert exchanges and not any("explode(sequence(1, drawn" in x or x.startswith("Project") and "draw#" in x for x in exchanges)
+    monkeypatch.undo()
+    importlib.reload(sql)
+
+
 def test_draws_are_the_same_for_any_layout_of_the_data(spark, ranked):
     dealt = garden(spark, settings(K1), dict(reversed(BEDS.items())))
     dealt.gsc = dealt.gsc.repartition(7, "date")
