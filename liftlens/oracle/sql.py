@@ -10,6 +10,7 @@ import re
 
 from liftlens import constants as C
 from liftlens.operators.bootstrap import BLOCK_SLOTS
+from liftlens.operators.design import DESIGN_COLUMNS
 from liftlens.sources.fixtures import BODY_PARTS, HEAD_PARTS, LONG_TITLE, SHORT_TITLE, STUDY
 
 P = STUDY
@@ -391,6 +392,18 @@ SELECT label, url, page_id, CASE WHEN page_id % 23 = 0 THEN 404 ELSE 200 END AS
               || CASE WHEN page_id % 5 IN (1, 2)
                       THEN '<meta name="description" content="Page ' || page_id % 40 || '">' ELSE '' END) END AS html
 FROM shaped, (VALUES ('before'), ('after')) s(label)"""
+CTES["stored"] = """
+SELECT label, url, status, html, 'crawl/' || label || '/' AS folder,
+       CASE WHEN html <> '' THEN 'page_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END || '.html'
+            ELSE '' END AS file, n
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url, page_id) AS n FROM crawl_pages)"""
+CTES["stored_files"] = r"""
+SELECT folder || file AS path, sha256(html) AS sha256 FROM stored WHERE file <> ''
+UNION ALL
+SELECT folder || 'index.csv', sha256('url,file,status,content_type' || chr(10) || string_agg(
+         CASE WHEN regexp_matches(url, '[,"\n\r]') THEN '"' || replace(url, '"', '""') || '"' ELSE url END
+         || ',' || file || ',' || status || ',text/html' || chr(10), '' ORDER BY n))
+FROM stored GROUP BY folder"""
 CTES["parsed"] = f"""
 SELECT label, page_id, {_normal("url")} AS url, lower(regexp_extract(url, '{_URL}', 1)) || '://' || lower(regexp_extract(url, '{_URL}', 2)) AS origin,
        html, {_CLEAN} AS clean
@@ -662,6 +675,22 @@ FROM issues i LEFT JOIN (SELECT {_normal("url")} AS url, max('P' || page_id) AS
 FROM ({_values([(c,) for c in C.CATEGORIES], "category")}) LEFT JOIN summary USING (category) GROUP BY category""",
     "url_normalized": f"SELECT page_id, {_normal('url')} AS url, lower(regexp_extract(url, '{_URL}', 2)) AS host FROM pages",
     "link_edges": "SELECT label, src, anchor_pos, dst FROM edges",
+    "crawl_files": "SELECT path, sha256 FROM stored_files",
+    "crawl_records": """SELECT label, url, CAST(status AS INTEGER) AS status, 'text/html' AS content_type,
+       sha256(regexp_replace(html, '\r\n?', chr(10), 'g')) AS html_sha256 FROM stored""",
+    "data_hash": "SELECT sha256(string_agg(sha256 || '  ' || path || chr(10), '' ORDER BY path)) AS tree_sha256 FROM stored_files",
+    "design_hash": "SELECT CAST(sum(CAST('0x' || substr(md5(" + " || '|' || ".join(
+        f"""coalesce(length(CAST("{c}" AS VARCHAR)) || ':' || CAST("{c}" AS VARCHAR), '-')""" for c in sorted([*DESIGN_COLUMNS, "metric", "segment"]))
+        + """), 1, 15) AS HUGEINT)) AS VARCHAR) AS table_hash, count(*) AS rows FROM design""",
+    "file_findings": """
+SELECT 'error' AS severity, 'checksum_missing' AS code, path AS file, 'file not listed in SHA256SUMS' AS detail
+FROM stored_files WHERE path LIKE 'crawl/after/page%'
+UNION ALL SELECT 'error', 'checksum_mismatch', 'crawl/before/index.csv', 'content differs from SHA256SUMS'
+FROM stored_files WHERE path = 'crawl/before/index.csv' AND sha256 <> sha256('')
+UNION ALL SELECT 'error', 'checksum_extra', 'crawl/before/lost.html', 'listed file does not exist'
+UNION ALL SELECT 'error', 'missing_file', f, 'required file is absent'
+FROM (VALUES """ + ", ".join(f"('{name}')" for name in C.REQUIRED_FILES if name != C.HASH_LIST) + """) required(f)
+WHERE f NOT IN (SELECT path FROM stored_files)""",
     "lighthouse_summary": "SELECT design_group, snapshot, " + ", ".join(
         f"round(median(CAST({m} AS DOUBLE)), 6) AS {m}" for m in C.MEASURES)
     + " FROM scores JOIN site_pages USING (page) GROUP BY ALL",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,11 @@ from liftlens.operators.page_facts import FACT_COLUMNS, page_facts
 from liftlens.params import hypotheses
 from liftlens.plans.site_audit import SiteAudit
 from liftlens.plans.study import Study
-from liftlens.session import materialize
+from liftlens.session import materialize, work_dir
+from liftlens.sources import files as FL
 from liftlens.sources import fixtures as X
+from liftlens.sources import hashes as HS
+from liftlens.sources import snapshot as S
 
 RUN_ID = "run"
 DIGITS = 6
@@ -134,6 +138,46 @@ def query_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.query_segment_day(X.query_rows(_events(spark, sf_dir)), "^(click|view) [0-4]"))
 
 
+def _stored_crawl(spark: SparkSession, sf_dir: str) -> str:
+    """Folder in which both crawls of the stored pages lie as files."""
+    crawl = X.crawl(X.table(spark, sf_dir, "pages")).where(F.col("seq").isNotNull())
+    root = f"{work_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    for label in C.SNAPSHOTS:
+        FL.write_crawl(crawl.where(F.col("label") == label), f"{root}/crawl/{label}")
+    return root
+
+
+def crawl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of every file of the stored crawls."""
+    return HS.file_hashes(spark, _stored_crawl(spark, sf_dir))
+
+
+def data_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of all files of the stored crawls."""
+    return HS.tree_hash(crawl_files(spark, sf_dir))
+
+
+def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored crawls as read back."""
+    root = _stored_crawl(spark, sf_dir)
+    read = [S.read_crawl(spark, f"{root}/crawl/{label}", label) for label in C.SNAPSHOTS]
+    return reduce(DataFrame.unionByName, read).select("label", "url", "status", "content_type", F.sha2("html", 256).alias("html_sha256"))
+
+
+def design_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of the design that a run records and a check works out again."""
+    return HS.table_hash(study(spark, sf_dir).design())
+
+
+def file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on the stored crawls against a list that knows another ``before`` index, names a lost page and no page of ``after``."""
+    found = materialize(crawl_files(spark, sf_dir), "file_hashes")
+    changed = F.when(F.col("path") == "crawl/before/index.csv", F.sha2(F.lit(""), 256)).otherwise(F.col("sha256"))
+    lost = found.sparkSession.range(1).select(F.lit("crawl/before/lost.html").alias("path"), F.sha2(F.lit("lost"), 256).alias("sha256"))
+    declared = found.where(~F.col("path").startswith("crawl/after/page")).select("path", changed.alias("sha256")).unionByName(lost)
+    return quality.checksum_issues(found, declared).unionByName(quality.missing_files(spark, found))
+
+
 class Results:
     """Stored result tables of one run, as the checks, the claims and the document read them."""
 
@@ -237,6 +281,11 @@ QUERIES: dict[str, Query] = {
     "link_edges": _of_crawl(L.edges),
     "reachable_pages": reachable_pages,
     "lighthouse_summary": lighthouse_summary,
+    "crawl_files": crawl_files,
+    "crawl_records": crawl_records,
+    "data_hash": data_hash,
+    "design_hash": design_hash,
+    "file_findings": file_findings,
     "dq_issues": dq_issues,
     "claims": claims,
     "result_checks": result_checks,

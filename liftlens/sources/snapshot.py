@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlens import constants as C
+from liftlens.sources.files import read_folder
 
 # Columns whose empty cells are empty text; other empty cells are missing values.
 TEXT_COLUMNS = ["page", "url", "design_group", "segment", "date", "intervention_id", "type", "description",
@@ -66,26 +67,13 @@ def read_crawl(spark: SparkSession, path: str, label: str) -> DataFrame:
     """
     index = (read_raw_table(spark, f"{path}/index.csv")
              .withColumn("seq", F.monotonically_increasing_id()))
-    root = path.split(":", 1)[-1].strip("/")
-    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    bodies = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
-              .select(F.regexp_extract(place, r"^(?:[a-z0-9]+:/*)?\Q" + root + r"\E/(.*)$", 1).alias("file"),
-                      F.regexp_replace("value", "\r\n?", "\n").alias("html")))
+    bodies = read_folder(spark, path).select(
+        F.col("path").alias("file"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("html"))
     return (index.join(bodies, "file", "left")
             .select(F.lit(label).alias("label"), "url", F.col("status").cast("int").alias("status"), "content_type",
                     F.coalesce("html", F.lit("")).alias("html"), "seq"))
 
 
-def write_crawl(crawl: DataFrame, path: str) -> None:
-    """Store a crawl ordered by url; a stored crawl is never overwritten."""
-    (crawl.repartitionByRange("url").sortWithinPartitions("url")
-     .write.mode("errorifexists").parquet(path))
-
-
-def load_crawl(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def write_table(df: DataFrame, path: str, monthly: bool = False) -> None:
     """Store a derived table; daily panels can be split by month so date filters skip folders."""
     if monthly:

@@ -3,6 +3,7 @@ from datetime import date
 
 import pytest
 from conftest import frame, garden, settings
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_estimates import BEDS, K1
 
@@ -16,6 +17,7 @@ from liftlens.operators.joins import salted_join
 from liftlens.operators.ranking import spread_rank
 from liftlens.params import arms, hypotheses, models
 from liftlens.session import materialize
+from liftlens.sources import files as FL
 from liftlens.sources import hashes as HS
 from liftlens.sources import snapshot as S
 
@@ -164,10 +166,59 @@ def test_crawl_folder_and_stored_crawl(spark, tmp_path):
     rows = {r.url: (r.status, r.html) for r in crawl.collect()}
     assert rows == {"https://x.test/": (200, "<title>A</title>\n"), "https://x.test/no": (404, "")}
     out = str(tmp_path / "stored")
-    S.write_crawl(crawl, out)
-    assert {tuple(r) for r in S.load_crawl(spark, out).collect()} == {tuple(r) for r in crawl.collect()}
-    with pytest.raises(Exception, match="(?i)exist"):
-        S.write_crawl(crawl, out)
+    FL.write_crawl(crawl, out)
+    back = S.read_crawl(spark, out, "before")
+    assert {tuple(r) for r in back.drop("seq").collect()} == {tuple(r) for r in crawl.drop("seq").collect()}
+    assert sorted(p.name for p in (tmp_path / "stored").iterdir()) == ["index.csv", "page_0001.html"]
+    assert [p.name for p in tmp_path.iterdir() if "writing" in p.name] == []
+    with pytest.raises(FileExistsError, match="exists already"):
+        FL.write_crawl(crawl, out)
+
+
+def test_written_crawl_is_numbered_by_url_and_quotes_its_cells(spark, tmp_path):
+    rows = [("https://x.test/b", 200, None, "second, copy", 2), ("https://x.test/b", 200, "text/html", "B\n", 1), ('https://x.test/a,"q"', 404, "t", "", 3),
+            ("https://x.test/c", None, "text/html", "Ü", 4)]
+    crawl = frame(spark, rows, "url string, status int, content_type string, html string, seq bigint").repartition(3)
+    FL.write_crawl(crawl, str(tmp_path / "c"))
+    assert (tmp_path / "c/index.csv").read_bytes().decode() == (
+        'url,file,status,content_type\n"https://x.test/a,""q""",,404,t\nhttps://x.test/b,page_0002.html,200,text/html\n'
+        "https://x.test/b,page_0003.html,200,\nhttps://x.test/c,page_0004.html,,text/html\n")
+    assert [(tmp_path / f"c/page_000{n}.html").read_bytes().decode() for n in (2, 3, 4)] == ["B\n", "second, copy", "Ü"]
+    FL.write_crawl(crawl.limit(0), str(tmp_path / "none"))
+    assert (tmp_path / "none/index.csv").read_text() == "url,file,status,content_type\n"
+
+
+def test_aborted_crawl_leaves_no_body_and_no_index(spark, tmp_path):
+    crawl = spark.range(6).select(F.col("id").cast("string").alias("url"), F.lit(200).alias("status"), F.lit("t").alias("content_type"),
+                                  F.lit("x").alias("html"), F.col("id").alias("seq"))
+    writer = FL.CrawlWriter(str(tmp_path / "c"))
+    done = writer.write(iter([Row(number=1, url="u", status=200, content_type="t", html="x")]))
+    assert (tmp_path / "c/page_0001.html").exists()
+    writer.abort([done, None])
+    assert list((tmp_path / "c").iterdir()) == []
+    FL.write_crawl(crawl, str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").iterdir())) == 7
+
+
+def test_hidden_looking_names_and_long_files_are_read_and_hashed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(FL, "GROUP_NAMES", 2)
+    long = "y" * (FL.PIECE + 5)
+    root = write(tmp_path, {"c/index.csv": "url,file,status,content_type\nu,_x.html,200,t\nv,_d/.h.html,200,t\nw,long.html,200,t\n",
+                            "c/_x.html": "X", "c/_d/.h.html": "H", "c/long.html": long})
+    assert {r.url: r.html for r in S.read_crawl(spark, f"{root}/c", "before").collect()} == {"u": "X", "v": "H", "w": long}
+    found = {r.path: r.sha256 for r in HS.file_hashes(spark, f"{root}/c").collect()}
+    assert found.keys() == {"index.csv", "_x.html", "long.html"}
+    assert found["long.html"] == hashlib.sha256(long.encode()).hexdigest()
+    assert {r.path for r in HS.file_hashes(spark, f"file:{root}/c").collect()} == found.keys()
+
+
+def test_tree_hash_of_many_lines_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(HS, "LINES_BYTES", 1000)
+    hashes = spark.range(3000).select(F.format_string("f%d", "id").alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    names = {f"f{i}": hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)}
+    expected = hashlib.sha256("".join(f"{h}  {n}\n" for n, h in sorted(names.items())).encode()).hexdigest()
+    assert HS.tree_hash(hashes.repartition(5)).first()[0] == expected == HS.tree_hash(hashes.coalesce(1)).first()[0]
+    assert HS.tree_hash(hashes.limit(0)).first()[0] == hashlib.sha256(b"").hexdigest()
 
 
 def test_tables_survive_storage(spark, tmp_path):
