@@ -3,10 +3,13 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
+import duckdb
 import pytest
+from compare import differences
 from conftest import frame
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from liftlens import constants as C
 from liftlens.functions import html as H
 from liftlens.functions.urls import normalize_url, page_base, resolve_link
@@ -244,3 +247,16 @@ def test_a_round_moves_neither_links_nor_pages_seen(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") == 2
+
+
+def test_pages_of_one_url_share_their_doors(spark, tmp_path):
+    """Copies of a page: one is gone, one has fewer links; the twin opens each url on the doors of all of them."""
+    rows = []
+    for n in range(1, 24):
+        url = f"https://o.example/{ {2: 'twin', 3: 'twin', 23: 'twin', 4: 'pair', 9: 'pair'}.get(n, f'p{n}') }"
+        links = "".join(f'<p><a href="/far/{(n * k) % 11}">x</a></p>' for k in range(1, n % 4 + 2))
+        rows.append((n, url, f"<html lang=\"en\"><head><title>Page {n}</title></head><body><h1>t</h1>{links}</body></html>"))
+    frame(spark, rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert differences(db, queries()["reachable_pages"](spark, str(tmp_path)), oracle_sql()["reachable_pages"]) == ""
