@@ -11,7 +11,7 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from liftlens import constants as C
-from liftlens.session import materialize
+from liftlens.session import materialize, small_batches
 
 #: A task reads about so many bytes or names; a file is hashed or copied in pieces of ``PIECE``, bodies leave in batches of it.
 GROUP_BYTES, GROUP_NAMES, PIECE = 64 << 20, 2_000, 4 << 20
@@ -106,6 +106,48 @@ def read_folder(spark: SparkSession, path: str, hashed: bool = False) -> DataFra
     return spark.read.format(Folder.name()).option("hashed", str(hashed).lower()).option("path", path).load()
 
 
+def read_bodies(named: DataFrame, path: str, keep: Sequence[str]) -> DataFrame:
+    """``named`` rows (``keep`` columns) with the ``content`` of the ``file`` below ``path`` that each one names, null where there is none.
+
+    The rows are dealt over tasks that open their own files: no folder is listed and no body is shuffled.
+    """
+    spark = named.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = named.select(*keep, "file").repartition(parts, *keep)
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = storage(path.rstrip("/"))
+
+        def content(name: str) -> bytes | None:
+            if not name or any(part in ("", ".", "..") for part in name.split("/")):
+                return None
+            try:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    return stream.read()
+            except OSError:
+                if store.get_file_info(f"{root}/{name}").type == fs.FileType.File:
+                    raise
+                return None
+
+        def batch(rows: pa.RecordBatch, held: list[bytes | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(held, pa.binary())], names=[*keep, "content"])
+
+        for rows in batches:
+            first, held, size = 0, [], 0
+            for name in rows.column(rows.num_columns - 1).to_pylist():
+                held.append(content(name))
+                size += len(held[-1] or b"")
+                if size >= PIECE:
+                    yield batch(rows.slice(first, len(held)), held)
+                    first, held, size = first + len(held), [], 0
+            if held:
+                yield batch(rows.slice(first, len(held)), held)
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    return rows.mapInArrow(run, f"{ddl}, content binary")
+
+
 @dataclass
 class Pieces(WriterCommitMessage):
     """Parts of the index that a task has written, each with its first page number, and the file that names its bodies."""
@@ -198,6 +240,7 @@ def write_crawl(crawl: DataFrame, path: str) -> None:
     if store.get_file_info(f"{root}/{INDEX}").type != fs.FileType.NotFound:
         raise FileExistsError(f"{path} exists already and holds a crawl")
     spark.dataSource.register(CrawlFolder)
+    small_batches(spark)
     at = F.monotonically_increasing_id()
     ranged = materialize(crawl.select("url", "status", "content_type", "html", "seq").repartitionByRange("url", "seq")
                          .sortWithinPartitions("url", "seq")

@@ -338,3 +338,17 @@ def test_checks_notice_damage_to_claims_and_document(spark):
     told = export.select(F.replace("document", F.lit('"yes"'), F.lit('"no"')).alias("document"))
     assert failed(export=told) == {"export_matches_metrics": "K1", "passed": "export_matches_metrics"}
     assert failed(metrics=metrics.withColumn("estimate", F.lit(0.7))).keys() == {"claims_match_run", "export_matches_metrics", "passed"}
+
+
+def test_reading_a_crawl_moves_no_body_and_lists_no_folder(spark, tmp_path):
+    root = tmp_path / "c"
+    (root / "deep").mkdir(parents=True)
+    (root / "index.csv").write_text("url,file,status,content_type\nu,_a.html,200,t\nv,deep/b.html,200,t\nw,gone.html,200,t\n"
+                                    "x,../out.html,200,t\ny,deep,200,t\nz,,404,t\nu2,_a.html,200,t\n")
+    for name, text in (("c/_a.html", "A\r\n"), ("c/deep/b.html", "B"), ("out.html", "no")):
+        (tmp_path / name).write_text(text, newline="")
+    crawl = S.read_crawl(spark, str(root), "before")
+    assert [(r.url, r.html) for r in crawl.orderBy("seq").collect()] == [
+        ("u", "A\n"), ("v", "B"), ("w", ""), ("x", ""), ("y", ""), ("z", ""), ("u2", "A\n")]
+    plan = crawl._jdf.queryExecution().executedPlan().toString()
+    assert "exact_folder" not in plan and "Join" not in plan
