@@ -90,6 +90,21 @@ def test_a_repetition_splits_all_its_draws_over_the_blocks(spark):
         assert abs(share - size / 11) < 4 * math.sqrt(size / 11 * (1 - size / 11) / 4400)
 
 
+def test_draws_are_made_by_many_tasks_however_small_their_input(spark):
+    slots = spark.range(2000).select(F.expr("'K' || (1 + id % 1)").alias("hypothesis_id"), F.expr("substr('position', 1 + id % 1)").alias("metric"),
+                                     F.col("id").alias("slot"),
+                                     F.lit(2000).cast("bigint").alias("n"), F.rand(1).alias("delta"))
+    pairs = frame(spark, [("K1", "did", "position")], "hypothesis_id string, model string, metric string")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = B.resampled(slots, pairs, ["hypothesis_id", "metric"], F.col("delta"), settings(K1, bootstrap_reps=100), "", F.lit("control"), 64)
+        shares = [r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert sum(shares) == 100 * 2000 and len(shares) >= 4 and max(shares) < sum(shares) / 2
+
+
 def test_small_blocks_draw_as_their_twin_and_send_no_drawn_rows(spark, small_dir, monkeypatch):
     monkeypatch.setattr(B, "BLOCK_SLOTS", 3)
     twin = importlib.reload(sql).ORACLE_SQL["bootstrap_draws"]
