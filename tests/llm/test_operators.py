@@ -1,17 +1,20 @@
 """Operators of the training-data pipeline against plain versions of their contracts."""
 
 import math
+import os
 import zlib
 from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import frame
 from corpus_tables import corpus_rows, docs, empty  # noqa: F401
 from pyspark.sql import functions as F
 
-from liftlens.llm import bpe, jaccard, langid, licenses, lm, mixing, neighbours, quality, queries, sharding, substrings
+from liftlens.llm import bpe, jaccard, langid, licenses, lm, mixing, neighbours, quality, queries, sharding, sketch, substrings, words
+from liftlens.session import written
 
 
 def sorted_rows(rows):
@@ -111,6 +114,44 @@ def test_substrings_are_exact(docs, corpus_rows):
     assert sorted_rows(got) == sorted_rows((r[0], *x) for r, x in zip(corpus_rows, brute.substrings([r[1] for r in corpus_rows])))
 
 
+def numbered_texts(n, size, seed):
+    return [" ".join(f"w{x}" for x in row) for row in np.random.Generator(np.random.PCG64(seed)).integers(0, 10 ** 6, (n, size)).tolist()]
+
+
+def test_leaders_of_windows_spread_over_the_sketch():
+    chunk, = words.chunks(pa.array(numbered_texts(1, 100_000, 1)), words.Hasher(substrings.SEED, False))
+    lead, begin, end = substrings.runs(chunk, substrings.WINDOW, substrings.LEADER)
+    ranges = np.bincount((lead >> np.uint64(58)).astype(np.int64), minlength=64)
+    assert (end - begin).sum() == 100_000 - 34 and ranges.max() < 2 * ranges.min()
+
+
+def test_substrings_of_copies_store_no_windows(spark):
+    texts = numbered_texts(200, 500, 2)
+    before = set(written())
+    left = substrings.dedup(frame(spark, list(enumerate(texts + texts)), "doc_id long, text string").repartition(3))
+    assert left.agg(F.sum("n_removed")).first()[0] == 400 * 500
+    stored = [os.path.join(at, f) for path in set(written()) - before for at, _, files in os.walk(path.removeprefix("file:")) for f in files]
+    assert stored and sum(map(os.path.getsize, stored)) < 5 * 400 * 500
+
+
+def test_substrings_of_near_copies_are_exact_behind_a_full_sketch(spark, monkeypatch):
+    """Copies changed here and there, some of them twice, so that leaders meet in equal runs, in others and in both."""
+    random = np.random.Generator(np.random.PCG64(3))
+    texts = numbered_texts(150, 600, 4)
+    for base in texts[:6]:
+        for changes in (1, 2, 5, 12, 30):
+            own = base.split()
+            for at in random.integers(0, len(own), changes).tolist():
+                own[at:at + 1] = [["other"], [], ["one", "more"]][at % 3]
+            cut = int(random.integers(0, 100))
+            texts += [" ".join(own)] * (1 + changes % 2) + [" ".join(own[cut:cut + 90])]
+    monkeypatch.setattr(sketch, "MIN_CELLS", 1 << 16)
+    monkeypatch.setattr(sketch, "MAX_CELLS", 1 << 16)
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = substrings.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted_rows(got) == sorted_rows((i, *x) for i, x in enumerate(brute.substrings(texts)))
+
+
 def test_jaccard_join_is_exact(docs, corpus_rows):
     got = jaccard.join(docs).collect()
     assert sorted_rows(got) == sorted_rows(brute.jaccard([r[:2] for r in corpus_rows]))
