@@ -70,7 +70,7 @@ def suspects(df: DataFrame, id_col: str, text_col: str, window: int, leader: int
     spark = df.sparkSession
     small_batches(spark)
     texts = df.select(text_col)
-    cells = sketch.cells_for(sketch.text_bytes(texts, text_col) // BYTES_A_PLACE * 4)
+    cells = sketch.cells_for(sketch.text_bytes(texts, text_col) // BYTES_A_PLACE)
 
     def items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for chunk in words.chunks(batch.column(0), words.Hasher(SEED, False)):

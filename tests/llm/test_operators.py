@@ -162,6 +162,27 @@ def test_jaccard_join_splits_large_clusters(docs, corpus_rows, monkeypatch):
     assert sorted_rows(jaccard.join(docs).collect()) == sorted_rows(brute.jaccard([r[:2] for r in corpus_rows]))
 
 
+def test_sketch_is_not_filled_by_items_that_occur_once(spark):
+    random = np.random.Generator(np.random.PCG64(5))
+    once, twice, often = (random.integers(0, 2 ** 64, n, np.uint64) for n in (200_000, 2_000, 50))
+    mixed = random.permutation(np.concatenate([once, np.repeat(twice, 2), np.repeat(often, 300)])).view(np.int64)
+    rows = spark.createDataFrame(pa.table({"h": pa.array(mixed)})).repartition(3)
+    made = sketch.count(rows, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)], 1 << 18, (2, 16))
+    assert (made.reached(often) == 2).all() and (made.reached(twice) >= 1).all()
+    assert (made.reached(once) > 0).mean() < 0.1 and (made.reached(twice) > 1).mean() < 0.05
+
+
+def test_jaccard_join_behind_a_bounded_sketch_passes_on_few_documents(spark, monkeypatch):
+    texts = numbered_texts(400, 300, 6)
+    texts += [f"{t} end {i}" for i, t in enumerate(texts[:20])] + texts[20:30]
+    monkeypatch.setattr(sketch, "MIN_CELLS", 1 << 16)
+    monkeypatch.setattr(sketch, "MAX_CELLS", 1 << 16)
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted_rows(jaccard.join(docs).collect()) == sorted_rows(brute.jaccard(list(enumerate(texts))))
+    passed = jaccard.profiles(docs, "doc_id", "text", jaccard.N).where("cardinality(lead) > 0")
+    assert 60 <= passed.count() < 120 and passed.where("cardinality(grams) = size").count() == passed.count()
+
+
 def test_language_model_base_is_exact_and_the_model_is_a_probability(docs, corpus_rows, monkeypatch):
     held = lambda key: zlib.crc32(str(key if key is not None else "").encode()) % 10 == 0
     want = sorted_rows((r[0], *(round(v, 6) for v in x)) for r, x in zip(corpus_rows, brute.base_scores([r[:2] for r in corpus_rows], held)))
